@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelode.llm import consensus, conversations, encoding, grouped_splits, survivorship
+from tracelode.llm import consensus, conversations, encoding, grouped_splits, leakage, survivorship
 from tracelode.session import table
 
 
@@ -48,6 +49,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_column(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_conversations": p1_conversations,
@@ -55,6 +66,7 @@ def queries() -> dict:
         "p4_found": p4_found, "p4_records": p4_records,
         "p5_found": p5_found, "p5_split": p5_split,
         "p7_ids": p7_ids,
+        "p8_found": p8_found, "p8_items": p8_items,
     }
 
 
