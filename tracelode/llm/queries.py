@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import consensus, conversations, encoding, grouped_splits, leakage, survivorship
+from tracelode.llm import consensus, conversations, encoding, grouped_splits, leakage, mojibake, survivorship
 from tracelode.session import table
 
 
@@ -59,6 +59,14 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"))
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_conversations": p1_conversations,
@@ -67,6 +75,7 @@ def queries() -> dict:
         "p5_found": p5_found, "p5_split": p5_split,
         "p7_ids": p7_ids,
         "p8_found": p8_found, "p8_items": p8_items,
+        "p9_found": p9_found, "p9_texts": p9_texts,
     }
 
 
