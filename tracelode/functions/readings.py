@@ -20,7 +20,7 @@ def read_hook(c: Column) -> Column:
     out = F.lit(None).cast("string")
     for h in HOOKS:
         out = F.when(bare == h.replace("_", ""), F.lit(h)).otherwise(out)
-    return out
+    return F.when(c.isin(*HOOKS), c).otherwise(out)
 
 
 def hook_ord(hook: Column) -> Column:
@@ -45,8 +45,9 @@ def read_instant(c: Column) -> Column:
         F.concat(s2, F.lit("T00:00:00Z"))
     )
     iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), F.unix_micros(zoned.try_cast("timestamp")))
-    # at most 15 digits, so that the product stays a long
-    return F.when(s.rlike(r"^[0-9]{1,15}$"), s.try_cast("long") * 1000).otherwise(iso)
+    # the usual notation needs no rewriting; at most 15 digits, so that the product stays a long
+    usual = c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$")
+    return F.when(usual, F.unix_micros(c.try_cast("timestamp"))).when(s.rlike(r"^[0-9]{1,15}$"), s.try_cast("long") * 1000).otherwise(iso)
 
 
 def has_words(c: Column) -> Column:
