@@ -60,14 +60,14 @@ def keyword_risk(text: Column, base: Column) -> Column:
     """Capped linear score of a text, 0 for blank text."""
     capped = lambda terms, most: F.least(count_terms(text, terms), F.lit(most))
     score = base + capped(Q_RISK, 5) * 0.16 + capped(Q_ERROR, 3) * 0.12 + capped(Q_MEDIUM, 2) * 0.12 + capped(Q_HIGH, 3) * 0.2 - capped(Q_LOW, 2) * 0.1
-    return F.when(F.trim(text) == "", 0.0).otherwise(clip01(score))
+    return F.when(~text.rlike(r"\S"), 0.0).otherwise(clip01(score))
 
 
 def self_check_risk(text: Column) -> Column:
     """Tiered score of a self-check text: high, medium, low terms in this order, else by keywords."""
     risky = count_terms(text, Q_RISK)
     return (
-        F.when(F.trim(text) == "", 0.0)
+        F.when(~text.rlike(r"\S"), 0.0)
         .when(contains_any(text, Q_HIGH), clip01(0.75 + F.least(risky, F.lit(2)) * 0.1))
         .when(contains_any(text, Q_MEDIUM), clip01(0.45 + F.least(risky, F.lit(2)) * 0.1))
         .when(contains_any(text, Q_LOW), clip01(0.1 + F.least(risky, F.lit(3)) * 0.08))

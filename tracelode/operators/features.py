@@ -96,7 +96,7 @@ def stream_features(events: DataFrame) -> DataFrame:
     col = F.col
     notes = F.when(col("hook_type").isin("pre_step", "post_step"), col("_notes")).otherwise("")
     df = df.withColumn("_seen_notes", notes)
-    has = lambda c: F.trim(c) != ""
+    has = lambda c: c.rlike(r"\S")
     df = df.withColumns(
         {
             "has_instruction_stream": _flag(has(col("_user"))),
