@@ -136,6 +136,6 @@ def key_inventory(records: DataFrame, column: str = "record") -> DataFrame:
     """``key, n``: keys of JSON objects and, dotted, of the objects in them, for unknown layouts; read from the merged schema of all rows."""
     v = records.select(F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull())
     top = v.select(F.explode(F.json_object_keys(F.to_json("v"))).alias("key"), "v")
-    nested = top.select(F.col("key"), F.get_json_object(F.to_json("v"), F.concat(F.lit("$['"), F.col("key"), F.lit("']"))).alias("t"))
+    nested = top.select(F.col("key"), F.call_function("get_json_object", F.to_json("v"), F.concat(F.lit("$['"), F.col("key"), F.lit("']"))).alias("t"))
     deeper = nested.where(F.substring("t", 1, 1) == "{").select(F.col("key").alias("a"), F.explode(F.json_object_keys("t")).alias("b")).select(F.concat_ws(".", "a", "b").alias("key"))
     return top.select("key").unionByName(deeper).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
