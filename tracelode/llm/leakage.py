@@ -49,8 +49,8 @@ def words(text: str | None) -> list[str]:
 def holds_run(item: list[str], doc: list[str], least: int = LEAST, tolerance: int = TOLERANCE) -> bool:
     """Whether ``doc`` has a run of ``least`` words of ``item`` with at most one edit per ``tolerance`` of its words.
 
-    Layer e holds, for each end of a run, the most item words that e edits allow. Runs of up to twice
-    the least length decide it.
+    A run begins and ends with a word that both have. Layer e holds, for each end, the most item words
+    that e edits allow. Runs of up to twice the least length decide it.
     """
     if len(item) < least or not doc:
         return False
@@ -64,14 +64,14 @@ def holds_run(item: list[str], doc: list[str], least: int = LEAST, tolerance: in
         now = np.zeros_like(before)
         for e in range(layers):
             best = np.where(here, before[e, :-1] + 1, 0)
+            if best.max() >= need[e]:
+                return True
             if e:
                 diagonal, above, left = before[e - 1, :-1], before[e - 1, 1:], now[e - 1, :-1]
                 best = np.maximum(best, np.where(diagonal > 0, diagonal + 1, 0))
                 best = np.maximum(best, np.where(above > 0, above + 1, 0))
                 best = np.maximum(best, left)
             now[e, 1:] = best
-            if best.max() >= need[e]:
-                return True
         before = now
     return False
 

@@ -31,7 +31,7 @@ UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250
 # fixed values: single-byte tables (true, taken for)
 SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("koi8_r", "cp1252"), ("cp866", "cp1252"))
 #: Log-odds that a run was garbled at all, and what each valid UTF-8 sequence adds by its length (its chance by accident).
-LEAST_GAIN, VALID = 6.0, {2: 2.5, 3: 5.0, 4: 7.0}
+LEAST_GAIN, VALID = 4.5, {2: 2.5, 3: 5.0, 4: 7.0}
 #: Sum of the words' log-odds above which a document counts as read with another single-byte table.
 LEAST_WORD_GAIN = 8.0
 _ROUNDS = 4
@@ -73,7 +73,7 @@ PATTERNS = {t: _pattern(b) for t, b in TABLES.items()}
 def _pseudo(ch: str) -> float:
     """Prior count of a character by its block, so that rare letters aren't impossible in a small corpus."""
     o = ord(ch)
-    if 0xC0 <= o <= 0x17F or 0x400 <= o <= 0x45F or 0x2010 <= o <= 0x2044 or 0xA1 <= o <= 0xBF or o in (0x20AC, 0x2122, 0xA0):
+    if 0xC0 <= o <= 0x17F or 0x410 <= o <= 0x44F or o in (0x401, 0x451) or 0x2010 <= o <= 0x2044 or 0xA1 <= o <= 0xBF or o in (0x20AC, 0x2122, 0xA0):
         return 1.0
     if 0x3040 <= o <= 0x30FF or 0x3000 <= o <= 0x3020 or 0x1F300 <= o <= 0x1FAFF or 0x370 <= o <= 0x3FF or 0x2190 <= o <= 0x27BF:
         return 0.3
@@ -133,7 +133,8 @@ class Channel:
             size = 0 if b is None else 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
             if size and i + size <= n and all(known[i + 1 : i + size]) and all(c is None or 0x80 <= c <= 0xBF for c in codes[i + 1 : i + size]):
                 ch = self._read(codes[i : i + size])
-                if ch is not None:
+                # a character that the corpus never has, of a script it hardly has, is an accident
+                if ch is not None and (self.counts.get(ch, 0) or _pseudo(ch) >= 0.3):
                     lost = codes[i + 1 : i + size].count(None)
                     go = at + self.cost(ch) - VALID[size] + 2.0 * lost
                     if go < best[i + size]:
@@ -217,15 +218,14 @@ def restore(text: str, channel: Channel) -> tuple[str, bool, int]:
     return new, True, new.count(LOST)
 
 
-_CYRILLIC = re.compile("[^\\W\\d_]{2,}")
+#: Runs outside ASCII without white space and quotes: a letter of one table may be a sign in another.
+_FOREIGN = re.compile("[^\\x00-\\x7f\\s\u00ab\u00bb\u201e\u201c\u201d\u2014\u2013\u2026]{2,}")
 
 
 def other_words(text: str) -> dict[tuple[int, str, str], int]:
     """Words wholly outside ASCII with what they would be under another pair of tables, in lower case, and their counts."""
     out: dict[tuple[int, str, str], int] = {}
-    for w in _CYRILLIC.findall(text):
-        if any(ord(c) < 0x80 for c in w):
-            continue
+    for w in _FOREIGN.findall(text):
         for k, (true, taken) in enumerate(SINGLE):
             try:
                 meant = w.encode(taken).decode(true)
@@ -312,8 +312,10 @@ def repaired(docs: DataFrame) -> DataFrame:
     hole = r"[\p{L}\p{M}�]*�[\p{L}\p{M}�]*"
     holes = cases.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("restored", F.lit(hole), F.lit(0)))).alias("hole")).where(F.col("hole").rlike(r"\p{L}"))
     masked = words.where(~F.col("word").contains(LOST)).select(F.regexp_replace("word", r"[^\x00-\x7F]", LOST).alias("mask"), "word", "n")
-    best = masked.groupBy("mask").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
-    fills = holes.join(best, F.lower("hole") == best["mask"]).groupBy("doc_id").agg(F.collect_list(F.struct("hole", "word")).alias("fills"))
+    patterns = holes.select("hole").distinct().withColumn("mask", F.regexp_replace(F.lower("hole"), r"[^\x00-\x7F]", LOST))
+    fits = patterns.join(masked, "mask").where(F.expr(f"word like replace(lower(hole), '{LOST}', '_')"))
+    best = fits.groupBy("hole").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
+    fills = holes.join(best, "hole").groupBy("doc_id").agg(F.collect_list(F.struct("hole", "word")).alias("fills"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +327,7 @@ def repaired(docs: DataFrame) -> DataFrame:
                     def put(m: re.Match, true=true, taken=taken, wrong=frozenset(wrong)) -> str:
                         return m[0].encode(taken).decode(true) if m[0].lower() in wrong else m[0]
 
-                    text = _CYRILLIC.sub(put, text)
+                    text = _FOREIGN.sub(put, text)
                 for f in sorted(fill or [], key=lambda f: -len(f["hole"])):
                     word = f["word"]
                     if f["hole"][0] == LOST and f["hole"][1:].isupper() or f["hole"].replace(LOST, "").isupper() and len(word) > 2:
