@@ -138,7 +138,7 @@ def contexts(spark, *rows):
 
 
 def test_spellings_of_an_episode(spark):
-    same = ["slack:user_task_7:direct:injection_task_1", " SLACK:USER_TASK_7:DIRECT:INJECTION_TASK_1\t", "agentdojo:slack:user_task_7:direct:injection_task_1", "slack%3Auser_task_7%3Adirect%3Ainjection_task_1", "slack/user-task-7/direct/injection-task-1", "slack | user_task_0007 | direct | injection_task_1", "slack:user_task_7", None, " "]
+    same = ["slack:user_task_7:direct:injection_task_1", " SLACK:USER_TASK_7:DIRECT:INJECTION_TASK_1\t", "Collection:slack:user_task_7:direct:injection_task_1", "slack%3Auser_task_7%3Adirect%3Ainjection_task_1", "slack/user-task-7/direct/injection-task-1", "slack | user_task_0007 | direct | injection_task_1", "slack:user_task_7", None, " "]
     more = dict(suite_name="slack", user_task_id="user_task_7", attack_type="direct", injection_task_id="injection_task_1")
     other = [dict(episode_id="slack:user_task_7:none:none"), dict(episode_id="slack:user_task_70:direct:injection_task_1", **more), dict(episode_id=None, suite_name="slack", user_task_id="user_task_7"), dict(episode_id="slack:user_task_7")]
     keys = [r.k for r in contexts(spark, *[dict(episode_id=e, **more) for e in same], *other, dict(episode_id=None)).select(survivorship.episode_key().alias("k")).collect()]

@@ -107,9 +107,10 @@ def _own(i: int, column: str, last: str) -> str:
     return _PART.format(f"coalesce({raw}, {other}{last})")
 
 
-_KEYED = f"""keyed as (select *, {_own(1, 'suite_name', '')} || ':' || {_own(2, 'user_task_id', '')} || ':' || {_own(3, 'attack_type', ", 'none'")} || ':' || {_own(4, 'injection_task_id', ", 'none'")} as key
-  from (select c.*, t.trust, string_split(replace(replace(regexp_replace(replace(replace(replace(lower(episode_id), '%3a', ':'), '%2f', '/'), '%7c', '|'), '^\\s*agentdojo\\s*[:/|]', ''), '/', ':'), '|', ':'), ':') as parts
-    from episode_contexts c left join (select source_batch, max(trust) as trust from source_batches group by 1) t using (source_batch)))"""
+_KEYED = f"""split as (select c.*, t.trust, string_split(replace(replace(replace(replace(replace(lower(episode_id), '%3a', ':'), '%2f', '/'), '%7c', '|'), '/', ':'), '|', ':'), ':') as raw_parts
+    from episode_contexts c left join (select source_batch, max(trust) as trust from source_batches group by 1) t using (source_batch)),
+  parted as (select *, case when len(raw_parts) > 4 then raw_parts[2:5] else raw_parts end as parts from split),
+  keyed as (select *, {_own(1, 'suite_name', '')} || ':' || {_own(2, 'user_task_id', '')} || ':' || {_own(3, 'attack_type', ", 'none'")} || ':' || {_own(4, 'injection_task_id', ", 'none'")} as key from parted)"""
 P4 = f"""
 with {_KEYED},
 g as (select key, min(record_id) as group_id from keyed where key is not null group by 1 having count(*) >= 2),

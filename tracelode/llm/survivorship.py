@@ -32,7 +32,8 @@ def episode_key() -> Column:
     plain = F.lower(F.col("episode_id"))
     for code, sign in (("%3a", ":"), ("%2f", "/"), ("%7c", "|"), ("%20", " "), ("%5f", "_")):
         plain = F.replace(plain, F.lit(code), F.lit(sign))
-    parts = F.split(F.regexp_replace(plain, r"^\s*agentdojo\s*[:/|]", ""), r"[:/|]")
+    parts = F.split(plain, r"[:/|]")
+    parts = F.when(F.size(parts) > 4, F.slice(parts, 2, 4)).otherwise(parts)
     columns = ("suite_name", "user_task_id", "attack_type", "injection_task_id")
     read = []
     for i, name in enumerate(columns):
