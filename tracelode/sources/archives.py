@@ -71,11 +71,11 @@ def _say(v: object) -> str | None:
     return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
 
 
-def convert(record: dict, source: str, family: str) -> list[dict]:
-    """Events of one trajectory: turns as checkpoints, tool calls as pre_step and post_step, and a closing final."""
+def convert(record: dict, source: str, family: str, collection: str = "trajectories") -> list[dict]:
+    """Events of one trajectory: turns as checkpoints, tool calls as pre_step and post_step, and a closing final. ``collection`` begins the episode ids."""
     task = record.get("id") or record.get("instance_id") or record.get("original_id")
     stem = re.sub(r"\.[^.]*$", "", source.replace("\\", "/").rsplit("/", 1)[-1])
-    episode = f"agenthazard:{family}:{stem}:{record.get('category') or record.get('risk_category') or 'unknown'}:{task}"
+    episode = f"{collection}:{family}:{stem}:{record.get('category') or record.get('risk_category') or 'unknown'}:{task}"
     ask = record.get("query") or ""
     out: list[dict] = []
 
@@ -112,7 +112,7 @@ def convert(record: dict, source: str, family: str) -> list[dict]:
     return sorted(out, key=lambda e: (e["step_id"], order[e["hook_type"]]))
 
 
-def trajectory_events(rows: DataFrame) -> DataFrame:
+def trajectory_events(rows: DataFrame, collection: str = "trajectories") -> DataFrame:
     """Trace events of ``trajectories``; lines that are no JSON object give none."""
     fields = ("episode_id", "step_id", "hook_type", "user_instruction", "plan_summary", "proposed_tool", "tool_args", "observation")
 
@@ -126,7 +126,7 @@ def trajectory_events(rows: DataFrame) -> DataFrame:
                     continue
                 family = next((f for f in FAMILIES if f"/{f}/" in archive.lower().replace("\\", "/")), FAMILIES[1] if isinstance(r, dict) and isinstance(r.get("detail_logs"), dict) else FAMILIES[0])
                 if isinstance(r, dict):
-                    out += convert(r, archive, family)
+                    out += convert(r, archive, family, collection)
             yield pa.RecordBatch.from_arrays([pa.array([e[f] for e in out], pa.int64() if f == "step_id" else pa.string()) for f in fields], list(fields))
 
     return rows.select("archive", "record").mapInArrow(run, ", ".join(f"{f} {'long' if f == 'step_id' else 'string'}" for f in fields))
