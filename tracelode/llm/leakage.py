@@ -42,7 +42,7 @@ def words(text: str | None) -> list[str]:
     if "<" in text:
         text = re.sub(r"</?[a-zA-Z][^<>]*>", " ", text)
     if not text.isascii():
-        text = re.sub("[­​-‍⁠﻿]", "", unicodedata.normalize("NFKC", text))
+        text = re.sub("[\u00ad\u200b-\u200d\u2060\ufeff]", "", unicodedata.normalize("NFKC", text))
     return re.findall(r"[^\W_]+", text.casefold())
 
 
