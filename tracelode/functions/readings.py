@@ -11,12 +11,12 @@ HOOKS = ("pre_step", "post_step", "checkpoint", "final")
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | ~c.rlike(r"[^\s ]")
+    return c.isNull() | ~c.rlike(r"[^\s\u00a0]")
 
 
 def read_hook(c: Column) -> Column:
     """Hook kind without regard to case, spaces, hyphens and underscores; null if it is none of the four."""
-    bare = F.lower(F.regexp_replace(c, r"[\s_\- ]+", ""))
+    bare = F.lower(F.regexp_replace(c, r"[\s_\-\u00a0]+", ""))
     out = F.lit(None).cast("string")
     for h in HOOKS:
         out = F.when(bare == h.replace("_", ""), F.lit(h)).otherwise(out)
@@ -37,7 +37,7 @@ def read_instant(c: Column) -> Column:
     Digits alone are epoch milliseconds; a text without zone means UTC, whatever the
     session's zone is; offsets may lack their colon.
     """
-    s = F.upper(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
+    s = F.upper(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
     zone = r":[0-9]{2}([.,][0-9]+)? ?(Z|UTC|GMT|[+-][0-9]{2}(:?[0-9]{2})?)$"
     s2 = F.regexp_replace(s, r"(:[0-9]{2}(?:[.,][0-9]+)?) ?([+-][0-9]{2})([0-9]{2})$", "$1$2:$3")
     s2 = F.regexp_replace(s2, r"(:[0-9]{2}(?:[.,][0-9]+)?) ?([+-][0-9]{2})$", "$1$2:00")
