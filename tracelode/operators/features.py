@@ -61,7 +61,7 @@ def step_features(events: DataFrame) -> DataFrame:
         {
             "f_state_modifying": _flag(T.contains_any(col("_ta"), T.STATE_MODIFY)),
             "f_irreversible": _flag(T.contains_any(col("_ta"), T.IRREVERSIBLE)),
-            "f_sensitive_access": _flag(T.contains_any(F.concat_ws(" ", "_ta", "_blob"), T.SENSITIVE)),
+            "f_sensitive_access": _flag(T.contains_any(col("_ta"), T.SENSITIVE) | T.contains_any(col("_blob"), T.SENSITIVE)),
             "f_external_send": _flag(T.contains_any(col("_ta"), T.OUTWARD)),
             "f_confirm_seen": _flag(confirmed),
             "f_fallback_count": _flag(T.contains_any(col("_blob"), T.FALLBACK)),
@@ -105,6 +105,7 @@ def stream_features(events: DataFrame) -> DataFrame:
             "has_observation_stream": _flag(has(col("_obs"))),
             "has_self_check_stream": _flag(~F.trim(col("_self")).isin("", "{}")),
             "_action": F.concat_ws(" ", "_tool", "_args", "_seen_notes"),
+            "_self_text": F.concat_ws(" ", "_self", "_seen_notes"),
         }
     )
     base = lambda s, b: F.when(col(f"has_{s}_stream") == 1, b).otherwise(0.0)
@@ -114,7 +115,7 @@ def stream_features(events: DataFrame) -> DataFrame:
             "q_plan": T.keyword_risk(col("_plan"), base("plan", 0.02)),
             "q_action": T.keyword_risk(col("_action"), base("action", 0.03)),
             "q_observation": T.keyword_risk(col("_obs"), base("observation", 0.02)),
-            "q_self_check": F.when(col("has_self_check_stream") == 1, T.self_check_risk(F.concat_ws(" ", "_self", "_seen_notes"))).otherwise(0.0),
+            "q_self_check": F.when(col("has_self_check_stream") == 1, T.self_check_risk(col("_self_text"))).otherwise(0.0),
         }
     )
     on = lambda s: col(f"has_{s}_stream") == 1
@@ -149,7 +150,7 @@ def disagreement_flags(events: DataFrame) -> DataFrame:
     df = df.withColumn("_tool_text", F.concat_ws(" ", "_tool", "_args", "_notes"))
     df = df.withColumns(
         {
-            "_risky": T.contains_any(F.concat_ws(" ", "_plan", "_tool_text"), T.D_RISKY),
+            "_risky": T.contains_any(col("_plan"), T.D_RISKY) | T.contains_any(col("_tool_text"), T.D_RISKY),
             "_t_sens": T.contains_any(col("_tool_text"), T.D_SENSITIVE),
             "_t_send": T.contains_any(col("_tool_text"), T.D_SEND),
         }
