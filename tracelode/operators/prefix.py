@@ -101,9 +101,11 @@ def policy(score: Column) -> Column:
     return F.when(score <= 20, "continue").when(score <= 40, "watch").when(score <= 60, "verify").when(score <= 80, "alert").otherwise("block")
 
 
-def row_features(events: DataFrame) -> DataFrame:
-    """All row-local columns of valid events, narrow: no texts."""
-    df = P.disagreement_flags(P.stream_features(P.step_features(events)))
+def row_features(events: DataFrame, full: bool = True) -> DataFrame:
+    """Row-local columns of valid events, narrow: no texts; without ``full`` only what rules and scores need."""
+    df = P.step_features(events)
+    if full:
+        df = P.disagreement_flags(P.stream_features(df))
     danger = (F.col("hook_type") == "pre_step") & (F.greatest("f_confirm_required", "f_irreversible", "f_external_send") == 1)
     df = df.withColumns(
         {
@@ -116,16 +118,18 @@ def row_features(events: DataFrame) -> DataFrame:
             "risk_event": F.coalesce("risk_event", F.lit(False)),
         }
     )
-    keep = ["episode_id", "step_id", "hook_type", "seq", "_ord", *P.STEP_FEATURES, *P.STREAM_FEATURES, *P.ROW_FLAGS, "_recovers", "_danger", "_r2", "_r3", "_raw", "severity", "risk_event", F.col("t_risk").alias("_t_risk")]
+    more = [*P.STEP_FEATURES, *P.STREAM_FEATURES, *P.ROW_FLAGS, "_recovers"] if full else ["f_confirm_seen"]
+    keep = ["episode_id", "step_id", "hook_type", "seq", "_ord", *more, "_danger", "_r2", "_r3", "_raw", "severity", "risk_event", F.col("t_risk").alias("_t_risk")]
     return df.select(*keep)
 
 
-def rule_rows(events: DataFrame) -> DataFrame:
+def rule_rows(events: DataFrame, full: bool = True) -> DataFrame:
     """Row features with ``_prior_error`` (an error before this row), ``_v1`` (rule 1 violated here) and the position ``_k``; written."""
-    rows = written(row_features(events).withColumn("_one", F.lit(1).cast("long")), "row-features")
-    rows = running(rows, sums={"_k": "_one"}, maxima={"_confirmed": "f_confirm_seen"}, earlier={"_prior_error": "f_observation_error"})
+    rows = written(row_features(events, full).withColumn("_one", F.lit(1).cast("long")), "row-features")
+    rows = running(rows, sums={"_k": "_one"}, maxima={"_confirmed": "f_confirm_seen"}, earlier={"_prior_error": "f_observation_error"} if full else {})
     rows = rows.withColumn("_v1", ((F.col("_danger") == 1) & (F.col("_confirmed") == 0)).cast("int"))
-    rows = rows.withColumn("f_fallback_after_error", (F.col("_prior_error") * F.col("_recovers")).cast("int"))
+    if full:
+        rows = rows.withColumn("f_fallback_after_error", (F.col("_prior_error") * F.col("_recovers")).cast("int"))
     return written(rows.drop("_one", "_confirmed"), "rule-rows")
 
 
@@ -162,7 +166,7 @@ def floored() -> Column:
 
 def risk_scores(events: DataFrame) -> DataFrame:
     """``seq, episode_id, step_id, hook_type, oracle_violation, risk_score, policy`` of valid events: the score part of the prefix dataset."""
-    rows = violations(rule_rows(events)).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
+    rows = violations(rule_rows(events, full=False)).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
     rows = written(rows.withColumn("_w", decay_weight(floored(), F.col("_k"))).select("seq", "episode_id", "step_id", "hook_type", "_ord", "_k", "_w", "oracle_violation"), "weights")
     rows = running(rows, maxima={"_mw": "_w"}).withColumn("risk_score", decayed(F.col("_mw"), F.col("_k")))
     return rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.round("risk_score", 9)))

@@ -109,12 +109,12 @@ def decayed_risk_score(spark, sf):
 
 @query(f"{_K} v1 v2 v3", f"{S.UPTO_PREFIX} select * from px")
 def oracle_violations(spark, sf):
-    return prefix.violations(prefix.rule_rows(trace_events(spark, sf)))
+    return prefix.violations(prefix.rule_rows(trace_events(spark, sf), full=False))
 
 
 @query("episode_id:s first_risk last_risk", f"{S.UPTO_PREFIX} select * from er")
 def episode_risk_steps(spark, sf):
-    return prefix.episode_risk(prefix.rule_rows(trace_events(spark, sf)))
+    return prefix.episode_risk(prefix.rule_rows(trace_events(spark, sf), full=False))
 
 
 @query(f"{_K} future_risk_label future_severity:d t_risk lead_time_if_alert_now", f"{S.UPTO_PREFIX} select * from px")
