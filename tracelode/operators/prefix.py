@@ -85,8 +85,8 @@ def decay_weight(value: Column, k: Column, decay: float = DECAY) -> Column:
 
 
 def decayed(weight: Column, k: Column, decay: float = DECAY) -> Column:
-    """Decayed maximum at position ``k`` from the running maximum of ``decay_weight``; cannot overflow however long the episode is."""
-    return F.when(weight > 0, F.exp(weight - _SHIFT + k * math.log(decay))).otherwise(0.0)
+    """Decayed maximum at position ``k`` from the running maximum of ``decay_weight``, to nine digits; cannot overflow however long the episode is."""
+    return F.when(weight > 0, F.round(F.exp(weight - _SHIFT + k * math.log(decay)), 9)).otherwise(0.0)
 
 
 def decayed_max(df: DataFrame, value: str, name: str, decay: float = DECAY) -> DataFrame:
@@ -169,7 +169,7 @@ def risk_scores(events: DataFrame) -> DataFrame:
     rows = violations(rule_rows(events, full=False)).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
     rows = written(rows.withColumn("_w", decay_weight(floored(), F.col("_k"))).select("seq", "episode_id", "step_id", "hook_type", "_ord", "_k", "_w", "oracle_violation"), "weights")
     rows = running(rows, maxima={"_mw": "_w"}).withColumn("risk_score", decayed(F.col("_mw"), F.col("_k")))
-    return rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.round("risk_score", 9)))
+    return rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.col("risk_score")))
 
 
 def prefix_dataset(events: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def prefix_dataset(events: DataFrame) -> DataFrame:
     out = scored.withColumns(
         {
             "oracle_rules": rules,
-            "policy": policy(F.round("risk_score", 9)),
+            "policy": policy(F.col("risk_score")),
             "future_risk_label": label,
             "t_risk": F.col("first_risk"),
             "lead_time_if_alert_now": F.col("first_risk") - F.col("step_id"),
