@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +18,17 @@ def _prior(df: DataFrame, label: str) -> tuple[int, float]:
     return n, (y or 0.0) / n if n else 0.0
 
 
+def classifier(kind: str, n: int, seed: int = 7) -> Estimator:
+    """The untrained model of a kind for ``n`` rows; reads ``_x`` and ``_y``. Boosting runs 100 rounds."""
+    if kind == "logistic":
+        return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9)
+    if kind == "forest":
+        return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=100, maxDepth=3, seed=seed)
+    if kind == "boosted":
+        return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=100, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, seed=seed)
+    raise ValueError(kind)
+
+
 def train_and_score(train: DataFrame, score: DataFrame, features: Sequence[str], label: str = "label", kind: str = "logistic", seed: int = 7, out: str = "score") -> DataFrame:
     """``score`` with a risk of 0..100. Missing features count as 0; with one class in ``train`` every risk is its prior."""
     n, prior = _prior(train, label)
@@ -25,15 +37,7 @@ def train_and_score(train: DataFrame, score: DataFrame, features: Sequence[str],
     put = VectorAssembler(inputCols=list(features), outputCol="_x")
     clean = lambda d: put.transform(d.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}))
     fit_on = clean(train.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("double"))
-    if kind == "logistic":
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9)
-    elif kind == "forest":
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=100, maxDepth=3, seed=seed)
-    elif kind == "boosted":
-        model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=30, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, seed=seed)
-    else:
-        raise ValueError(kind)
-    scored = model.fit(fit_on).transform(clean(score).select(*score.columns, "_x"))
+    scored = classifier(kind, n, seed).fit(fit_on).transform(clean(score).select(*score.columns, "_x"))
     return scored.withColumn(out, vector_to_array("probability")[1] * 100.0).select(*score.columns, out)
 
 
