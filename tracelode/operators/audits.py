@@ -59,9 +59,9 @@ def range_coverage(df: DataFrame, task_no: Column, least: int, most: int) -> Dat
 
 
 def selected_features(df: DataFrame) -> list[str]:
-    """Numeric and boolean columns that a model may see."""
+    """Numeric and boolean columns that a model may see; ``risk_score`` is one, as it is known at each event."""
     kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
-    return [n for n, k in df.dtypes if k in kinds and n not in (*FORBIDDEN_FEATURES, "step_id", "seq", "label")]
+    return [n for n, k in df.dtypes if k in kinds and (n == "risk_score" or n not in (*FORBIDDEN_FEATURES, "step_id", "seq", "label"))]
 
 
 def leakage(features: Sequence[str]) -> list[str]:

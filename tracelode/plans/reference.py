@@ -486,16 +486,14 @@ def target_validation(spark, sf):
 
 
 # -- models (no SQL) ------------------------------------------------------------------------------
-_SMALL = ["f_state_modifying", "f_irreversible", "f_sensitive_access", "f_external_send", "f_self_check_gap", "f_risk_keyword_count"]
-
-
 def _modelled(kind: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        risky = F.coalesce(F.col("step_id") <= F.col("t_risk"), F.lit(False)).cast("int")
-        rows = written(P.step_features(trace_events(spark, sf)).select("seq", "episode_id", risky.alias("label"), *_SMALL), "model-rows")
+        data = prefix.prefix_dataset(trace_events(spark, sf))
+        features = audits.selected_features(data)
+        rows = written(data.select("seq", "episode_id", F.col("future_risk_label").alias("label"), *features), "model-rows")
         split = etl.episode_split(rows.select("episode_id"))
         train = rows.join(split.where("split = 'train'").select("episode_id"), "episode_id", "left_semi")
-        return models.train_and_score(train, rows, _SMALL, kind=kind).select("seq", "label", F.round("score", 6).alias("score"))
+        return models.train_and_score(train, rows, features, kind=kind).select("seq", "label", F.round("score", 6).alias("score"))
 
     return run
 
