@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelode.operators import drift
+from tracelode.plans import training_core
 from tracelode.session import written
 
 SCHEMA = "line_id long, feed string, file_no long, file_name string, line_no long, raw_line string, written_at timestamp"
@@ -75,6 +76,32 @@ def test_promotion_follows_names_and_casts(spark):
     assert json.loads(got[-1].rescued)["tool_args"] == {"m": "no number"}
 
 
+def test_every_field_of_every_feed_gets_a_column_of_its_widest_type(spark, tmp_path):
+    a = [event(k, a=k, x=100 + k, mixed=[k]) for k in range(3)]
+    b = [event(k, m=k, x=100 + k, mixed=str(k)) for k in range(3)]
+    c = [event(k, x=100 + k, mixed=True) for k in range(3)]
+    d = [event(k, m=100 + k, mixed=k + 0.5) for k in range(3)]
+    other = [event(k, real=k if k else 0.5, flag=k > 0, big=2**70, **{"Real": "r"}) for k in range(3)]
+    lines(spark, a, b, c, d).union(lines(spark, other, feed="g")).write.parquet(f"{tmp_path}/trace_file_lines.parquet")
+    got = training_core.p6_events(spark, str(tmp_path))
+    types = dict(got.dtypes)
+    assert {n: types[n] for n in types if n.startswith("tool_args")} == {
+        "tool_args_a": "bigint", "tool_args_x": "bigint", "tool_args_mixed": "string", "tool_args_Real": "string", "tool_args_real_2": "double", "tool_args_flag": "boolean", "tool_args_big": "string"
+    }
+    rows = got.where("step_id = 1").orderBy("feed", "file_no").collect()
+    assert [(r.tool_args_a, r.tool_args_x, r.tool_args_mixed) for r in rows[:4]] == [(1, 101, "[1]"), (1, 101, "1"), (None, 101, "true"), (None, 101, "1.5")]
+    assert (rows[4].tool_args_real_2, rows[4].tool_args_flag, rows[4].tool_args_big) == (1.0, True, str(2**70))
+
+
+def test_a_name_taken_again_is_a_field_of_its_own(spark):
+    a = [event(k, n=k) for k in range(3)]
+    b = [event(k, m=k) for k in range(3)]
+    c = [event(k, m=k, n=50 + k) for k in range(3)]
+    ing = written(drift.ingest(lines(spark, a, b, c)), "t")
+    got = drift.promote(ing, written(drift.changes(ing), "r")).where("step_id = 2").orderBy("file_no").collect()
+    assert [(r.tool_args_n, r["tool_args_n_2"]) for r in got] == [(2, None), (2, None), (2, 52)]
+
+
 def brute(files):
     def flat(o):
         out = {}

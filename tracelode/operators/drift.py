@@ -9,7 +9,8 @@ values of approved fields into typed columns, under whatever name a file had the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -226,49 +227,92 @@ def _pair_off(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["feed", "file_no", "old", "new"])
 
 
-def canonical_names(report: DataFrame) -> DataFrame:
-    """``feed, file_no, path, canonical``: for every renamed path, from the file of its renaming on, its first name in the feed.
+def canonical_names(ingested: DataFrame, report: DataFrame) -> DataFrame:
+    """``feed, file_no, path, canonical`` of every path that goes by another name in a file than its first one in the feed.
 
-    Holds until the path is renamed again or gone. One small group per feed: its renamings.
+    A name holds until the path is renamed again or gone, so the same path can mean different fields in
+    different files. A path added while its name still stands for a renamed field is a field of its own,
+    ``name~2`` and so on. One group per feed: its files and its renamings, additions and removals.
     """
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: dict[str, str] = {}
+        names: dict[str, str] = {}
         rows = []
         for (feed, file_no), part in pdf.sort_values("file_no").groupby(["feed", "file_no"], sort=True):
-            step = {r.detail: first.pop(r.field_path, r.field_path) for r in part.itertuples() if r.change_kind == "renamed"}
-            for r in part.itertuples():
-                if r.change_kind == "removed":
-                    first.pop(r.field_path, None)
-            first.update(step)
-            rows += [(feed, file_no, p, c) for p, c in step.items()]
+            of = lambda k: part[part["change_kind"] == k].sort_values("field_path").itertuples()  # noqa: B023, E731
+            step = {r.detail: names.pop(r.field_path, r.field_path) for r in of("renamed")}
+            for r in of("removed"):
+                names.pop(r.field_path, None)
+            names.update(step)
+            for r in of("added"):
+                taken, n, name = set(names.values()), 1, r.field_path
+                while name in taken:
+                    n += 1
+                    name = f"{r.field_path}~{n}"
+                if n > 1:
+                    names[r.field_path] = name
+            rows += [(feed, file_no, p, c) for p, c in names.items() if p != c]
         return pd.DataFrame(rows, columns=["feed", "file_no", "path", "canonical"])
 
-    few = report.where(F.col("change_kind").isin("renamed", "removed"))
-    return few.groupBy("feed").applyInPandas(follow, "feed string, file_no bigint, path string, canonical string")
+    few = report.where(F.col("change_kind").isin("renamed", "removed", "added")).select("feed", "file_no", "change_kind", "field_path", "detail")
+    files = ingested.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).select("feed", "file_no").distinct()
+    files = files.select("feed", "file_no", F.lit("file").alias("change_kind"), F.lit("").alias("field_path"), F.lit("").alias("detail"))
+    return few.unionByName(files).groupBy("feed").applyInPandas(follow, "feed string, file_no bigint, path string, canonical string")
+
+
+def _named(ingested: DataFrame, report: DataFrame) -> DataFrame:
+    """Readable rows with ``_fields``: canonical path, kind and text of each leaf."""
+    names = canonical_names(ingested, report).groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("path", "canonical"))).alias("_names"))
+    rows = ingested.where("readable").join(names, ["feed", "file_no"], "left")
+    field = lambda x: F.struct(F.coalesce(F.try_element_at("_names", x["path"]), x["path"]).alias("name"), x["kind"].alias("kind"), x["value"].alias("value"))
+    fields = F.transform(F.filter("leaves", lambda x: x["value"].isNotNull()), field)
+    return rows.select(*[c for c in ingested.columns if c not in ("leaves", "readable")], fields.alias("_fields"))
+
+
+def _widest(named: DataFrame) -> dict[str, str]:
+    """Every canonical path with the narrowest type that holds all its values in all feeds; ``string`` where kinds mix."""
+    flat = named.select(F.inline("_fields"))
+    whole = F.col("value").try_cast("bigint")
+    is_int, is_num = F.col("kind") == "integer", F.col("kind").isin("integer", "number")
+    exact = ~is_int | F.coalesce(whole.between(-(2**53), 2**53), F.lit(False))
+    kind = (
+        F.when(F.min(F.coalesce(is_int & whole.isNotNull(), F.lit(False))), "bigint")
+        .when(F.min(is_num & exact), "double")
+        .when(F.min(F.col("kind") == "boolean"), "boolean")
+        .otherwise("string")
+    )
+    return {r["name"]: r["type"] for r in flat.groupBy("name").agg(kind.alias("type")).orderBy("name").collect()}
 
 
-def _found(path: str) -> Column:
-    """Text of the first leaf that has the canonical path, under any of its names."""
+def _columns(paths: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """Column names of paths: ``_`` for other signs than letters and digits, numbered where they would be the same but for case."""
+    used, out = {t.lower() for t in taken}, {}
+    for path in paths:
+        base = name = re.sub(r"\W", "_", path)
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        out[path] = name
+    return out
 
-    def is_it(x: Column) -> Column:
-        return ((x["path"] == path) | F.coalesce(F.try_element_at("_names", x["path"]) == path, F.lit(False))) & x["value"].isNotNull()
 
-    return F.get(F.filter("leaves", is_it), F.lit(0))["value"]
+def _found(path: str) -> Column:
+    """Text of the first field that has the canonical path."""
+    return F.get(F.filter("_fields", lambda x: x["name"] == path), F.lit(0))["value"]
 
 
-def promote(ingested: DataFrame, report: DataFrame, approved: dict[str, str]) -> DataFrame:
+def promote(ingested: DataFrame, report: DataFrame, approved: dict[str, str] | None = None) -> DataFrame:
     """One consistent table of all events: the target's columns, one typed column per approved field, and what stays rescued.
 
-    ``approved`` maps canonical paths to types; columns are named with ``_`` for ``.``. Rescued values are
-    replayed with ``try_cast``; what does not fit stays in ``rescued`` alone, which is never changed. A
-    field is found under its canonical name and under the names it was renamed to in that feed.
+    ``approved`` maps canonical paths to types; without it every path of every feed is approved, with the
+    type that holds all its values. Columns are named with ``_`` for ``.``. Rescued values are replayed
+    with ``try_cast``; what does not fit stays in ``rescued`` alone, which is never changed. A field is
+    found under the name it has in that file of its feed.
     """
-    names = canonical_names(report).groupBy("feed", "path").agg(F.min(F.struct("file_no", "canonical")).alias("x")).select("feed", "path", "x.canonical")
-    wanted = names.where(F.col("canonical").isin(*approved)).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("path", "canonical"))).alias("_names"))
-    rows = ingested.where("readable").join(wanted, "feed", "left")
-    columns = []
-    for path, kind in approved.items():
-        columns.append(_found(path).try_cast(kind).alias(path.replace(".", "_")))
-    known = [c for c in ingested.columns if c not in ("leaves", "readable", "rescued")]
+    rows = written(_named(ingested, report), "named")
+    approved = _widest(rows) if approved is None else approved
+    known = [c for c in rows.columns if c not in ("_fields", "rescued")]
+    columns = [_found(path).try_cast(approved[path]).alias(name) for path, name in _columns(approved, [*known, "rescued"]).items()]
     return rows.select(*known, *columns, "rescued")

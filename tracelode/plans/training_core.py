@@ -11,8 +11,6 @@ from tracelode.session import scratch, table, written
 
 #: Batch kinds that bring messages again or late; they are merged into the history of the others.
 LATE_KINDS = ("recovery", "backfill")
-#: Fields approved for promotion into typed columns of the consistent event table.
-APPROVED = {"tool_args.mode": "bigint", "tool_args.label_hint": "string", "tool_args.region": "double", "tool_args.cursor": "boolean", "notes.path": "bigint", "notes.amount": "bigint"}
 
 
 def delivered(spark: SparkSession, sf_dir: str) -> DeliveryStore:
@@ -41,7 +39,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingested = written(drift.ingest(table(spark, sf_dir, "trace_file_lines")), "ingested")
-    return drift.promote(ingested, written(drift.changes(ingested), "changes"), APPROVED)
+    return drift.promote(ingested, written(drift.changes(ingested), "changes"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p6_found": p6_found, "p6_events": p6_events}
