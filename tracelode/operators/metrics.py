@@ -146,15 +146,16 @@ def containment(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def sweep(rows: DataFrame, verify: Sequence[float] = VERIFY, alert: Sequence[float] = ALERT, block: Sequence[float] = BLOCK) -> DataFrame:
-    """One row per ordered threshold triple. Containment depends on the first threshold only and the alert rate on the second,
-    so each is aggregated once and the grid joins two tables of a few rows."""
+    """One row per ordered threshold triple. Containment and the rate of ``verify`` or higher depend on the first threshold only
+    and the alert rate on the second, so each is aggregated once and the grid joins tables of a few rows."""
     spark = rows.sparkSession
     grid = spark.createDataFrame([(float(v), float(a), float(b)) for v in verify for a in alert for b in block if v <= a <= b], "verify double, alert double, block double")
     contained = containment(rows, verify).select(F.col("threshold").alias("verify"), "risky_episodes", "positive_lead", "no_window_jit", "missed", "false_alerts", "operational_rate", "mean_lead")
     warned = outcomes(rows, verify).groupBy(F.col("threshold").alias("verify")).agg(F.try_divide(F.count_if("false_alert"), F.count_if(~F.col("risky"))).alias("false_alert_rate"))
-    alerts = rows.agg(*[(F.count_if(F.col("score") >= a) / F.count(F.lit(1))).alias(f"a{i}") for i, a in enumerate(alert)])
-    rate = alerts.select(F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alert"), F.col(f"a{i}").alias("alert_rate")) for i, a in enumerate(alert)])).alias("x")).select("x.*")
-    return grid.join(contained, "verify").join(warned, "verify").join(rate, "alert")
+    share = lambda ts, key, name: rows.agg(
+        F.array(*[F.struct(F.lit(float(t)).alias(key), (F.count_if(F.col("score") >= t) / F.count(F.lit(1))).alias(name)) for t in ts]).alias("x")
+    ).select(F.explode("x").alias("x")).select("x.*")
+    return grid.join(contained, "verify").join(warned, "verify").join(share(alert, "alert", "alert_rate"), "alert").join(share(verify, "verify", "verify_or_higher_rate"), "verify")
 
 
 def recommended(grid: DataFrame, cap: float = 0.25) -> DataFrame:

@@ -101,6 +101,16 @@ def policy(score: Column) -> Column:
     return F.when(score <= 20, "continue").when(score <= 40, "watch").when(score <= 60, "verify").when(score <= 80, "alert").otherwise("block")
 
 
+def policy_lower(score: Column, verify: float, alert: float, block: float) -> Column:
+    """Policy bucket of the threshold sweep: inclusive lower bounds, ``watch`` from half of ``verify`` on; a null score is ``continue``."""
+    return F.when(score >= block, "block").when(score >= alert, "alert").when(score >= verify, "verify").when(score >= max(0.0, verify / 2.0), "watch").otherwise("continue")
+
+
+def policy_floor_watch(score: Column, verify: float, alert: float, block: float) -> Column:
+    """Policy bucket of the utility slices: inclusive lower bounds, everything below ``verify`` is ``watch``."""
+    return F.when(score >= block, "block").when(score >= alert, "alert").when(score >= verify, "verify").otherwise("watch")
+
+
 def row_features(events: DataFrame, full: bool = True) -> DataFrame:
     """Row-local columns of valid events, narrow: no texts; without ``full`` only what rules and scores need."""
     df = P.step_features(events)
