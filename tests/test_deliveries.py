@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions.readings import read_hook, read_instant
-from tracelode.operators.deliveries import DeliveryStore, identified, keep_one
+from tracelode.operators.deliveries import DeliveryStore, LostRaceError, identified, keep_one, winners
 
 T0 = datetime(2026, 1, 5)
 
@@ -48,19 +48,37 @@ def test_winner_is_earliest_then_smallest_id(spark, make_events, tmp_path):
     assert sorted(r.ingest_id for r in keep_one(e).collect()) == [2, 5, 6, 7, 8, 9, 10]
 
 
-def test_late_load_takes_over_and_rewrites_only_its_partition(spark, make_events, tmp_path):
-    early = make_events(row(day=5), row(ep="b", at="2026-06-01T00:00:00Z", day=5))
+def test_late_load_takes_over_and_rewrites_only_the_partition_that_the_index_names(spark, make_events, tmp_path):
+    early = make_events(row(day=5), row(ep="b", at="2026-06-01T00:00:00Z", day=40), row(ep="d", day=40))
     store, got = removed(spark, tmp_path, early)
     assert got == []
     before = store.manifest()
-    store.load(make_events(dict(row(day=1), ingest_id=10), dict(row(ep="c", at="2026-09-01T00:00:00Z"), ingest_id=11)))
+    assert len(before["parts"]) == 2
+    # the copy that comes again arrived in another span than the stored one: only the index leads to it
+    store.load(make_events(dict(row(day=-60), ingest_id=10), dict(row(ep="c", at="2026-09-01T00:00:00Z", day=200), ingest_id=11)))
     after = store.manifest()
     assert sorted(r.ingest_id for r in store.removed().collect()) == [1]
-    assert sorted(r.ingest_id for r in store.current().collect()) == [2, 10, 11]
+    assert sorted(r.ingest_id for r in store.current().collect()) == [2, 3, 10, 11]
     changed = {p for p in after["parts"] if after["parts"][p] != before["parts"].get(p)}
     assert len(changed) == 2 and len(after["parts"]) == 3 and after["version"] == 2
     untouched = (set(after["parts"]) - changed).pop()
     assert after["parts"][untouched] == before["parts"][untouched]
+    # and again, with the partition found under its old place
+    store.load(make_events(dict(row(day=-90), ingest_id=12)))
+    assert sorted(r.ingest_id for r in store.removed().collect()) == [1, 10]
+
+
+def test_a_batch_loaded_twice_changes_nothing(spark, make_events, tmp_path):
+    e = make_events(row(), row(), row(step=2))
+    store, got = removed(spark, tmp_path, e, e, e.union(e))
+    assert got == [2] and sorted(r.ingest_id for r in store.current().collect()) == [1, 3]
+
+
+def test_rank_keeps_ids_and_arrivals(spark, make_events):
+    e = make_events(dict(row(day=None), ingest_id=-(2**63)), dict(row(step=2), ingest_id=2**63 - 1), dict(row(step=3, day=-400000), ingest_id=0), dict(row(step=4), ingest_id=5), dict(row(step=4), ingest_id=-5))
+    got = {r.step_id: (r.arrived, r.ingest_id) for r in winners(identified(e)).collect()}
+    want = {r.step_id: (r.arrived, r.ingest_id) for r in identified(e).where("ingest_id <> 5").collect()}
+    assert got == want and got[1] == (None, -(2**63)) and got[4][1] == -5
 
 
 def test_new_ids_are_appended_without_rewriting(spark, make_events, tmp_path):
@@ -88,9 +106,36 @@ def test_many_loads_equal_brute_force(spark, make_events, tmp_path):
     rng.shuffle(rows)
     _, got = removed(spark, tmp_path, make_events(*rows[:60]), make_events(*rows[60:100]), make_events(*rows[100:]))
     assert got == expected
-
-
-def test_a_lost_race_does_not_commit(spark, make_events, tmp_path):
-    store, _ = removed(spark, tmp_path, make_events(row()))
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest())
+    assert sorted(r.ingest_id for r in _.current().collect()) == sorted(set(range(150)) - set(expected))
+
+
+def test_a_lost_race_destroys_nothing(spark, make_events, tmp_path):
+    root = f"file://{tmp_path}/store"
+    a, b = DeliveryStore(spark, root), DeliveryStore(spark, root)
+    rows = identified(make_events(dict(row(step=3), ingest_id=3)))
+    theirs = b._merge(b.manifest(), rows)  # b starts from the empty state,
+    a.load(make_events(row(), row(step=2)))  # a commits first
+    with pytest.raises(LostRaceError):
+        b._commit(theirs)
+    assert sorted(r.ingest_id for r in b.current().collect()) == [1, 2]
+    b.load_identified(rows)
+    assert sorted(r.ingest_id for r in a.current().collect()) == [1, 2, 3] and a.manifest()["version"] == 2
+
+
+def test_a_load_that_lost_starts_over(spark, make_events, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    a, b = DeliveryStore(spark, root), DeliveryStore(spark, root)
+    merge, calls = b._merge, []
+
+    def late(old, rows):
+        out = merge(old, rows)
+        if not calls:
+            a.load(make_events(row(day=1), row(step=2)))
+        calls.append(out["loads"][-1])
+        return out
+
+    monkeypatch.setattr(b, "_merge", late)
+    b.load(make_events(dict(row(day=0), ingest_id=7)))
+    assert len(calls) == 2 and sorted(r.ingest_id for r in b.current().collect()) == [2, 7]
+    assert [r.ingest_id for r in b.removed().collect()] == [1]
+    assert not (tmp_path / "store" / "data" / f"load={calls[0]}").exists()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the four hook kinds of a trace, in their order within a step
@@ -53,3 +53,12 @@ def read_instant(c: Column) -> Column:
 def has_words(c: Column) -> Column:
     """True if the text has a letter or a digit; null counts as none."""
     return F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since the epoch of a timestamp column; one without zone means UTC, whatever the session's zone is."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + clock + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
