@@ -216,7 +216,7 @@ class DeliveryStore:
         spans = sorted({r["span"] for r in places})
         index = self._read("index", old["loads"], "id_hash long, part int, span int, prefix int")
         index = index.where(F.col("span").isin(spans) & F.col("prefix").isin(sorted({r["prefix"] for r in places})))
-        hit = index.join(keyed, ["span", "prefix", "id_hash"], "left_semi").select("part").distinct()
+        hit = index.join(keyed.hint("merge"), ["span", "prefix", "id_hash"], "left_semi").select("part").distinct()
         return spans, sorted(r["part"] for r in hit.collect())
 
     def _merge(self, old: dict, rows: DataFrame) -> dict:
@@ -240,12 +240,12 @@ class DeliveryStore:
 
         fresh = self._keyed(data.where("fresh")).select("id_hash", "part", "span", "prefix")
         fresh.hint("rebalance", "span", "prefix").write.partitionBy("span", "prefix").parquet(at("index"))
-        lost = rows.select("ingest_id", "at").join(data.select("ingest_id"), "ingest_id", "left_anti")
+        lost = rows.select("ingest_id", "at").join(data.select("ingest_id").hint("merge"), "ingest_id", "left_anti")
         lost = lost.unionByName(data.where(F.col("was") != F.col("ingest_id")).select(F.col("was").alias("ingest_id"), "at"))
         lost = lost.select("ingest_id", self._span(F.col("at")).alias("span")).distinct()
         if old["loads"]:
             logged = self._read("removed", old["loads"], "ingest_id long, span int").where(F.col("span").isin(spans))
-            lost = lost.join(logged, ["span", "ingest_id"], "left_anti")
+            lost = lost.join(logged.hint("merge"), ["span", "ingest_id"], "left_anti")
         lost.hint("rebalance", "span").write.partitionBy("span").parquet(at("removed"))
 
         fs, path = self._fs()
