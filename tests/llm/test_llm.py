@@ -109,21 +109,33 @@ def simulated(seed=1, n=400, people=40):
 def test_consensus_beats_majority_and_both_ways_agree(spark):
     rows, truth, kind = simulated()
     d = votes(spark, rows)
-    got = consensus.consensus(d, rounds=30).toPandas()
+    got = consensus.consensus(d).toPandas()
     right = (got.binary_risk_label == truth[got.episode_id.str[1:].astype(int)]).mean()
     maj = d.groupBy("episode_id").agg(F.avg(F.col("binary_risk_label").cast("double")).alias("m"), F.count("*").alias("n")).where("n >= 3").toPandas()
     majority = ((maj.m > 0.5) == truth[maj.episode_id.str[1:].astype(int)]).mean()
     assert right > 0.9 and right > majority + 0.05 and len(got) == len(maj)
-    people = consensus.annotator_reliability(d, rounds=30).toPandas().set_index("annotator_id")
+    people = consensus.annotator_reliability(d).toPandas().set_index("annotator_id")
     assert {a for a in people.index[people.inverted]} == {f"a{k}" for k in range(40) if kind[k] == "inverse"}
-    joined = consensus.consensus(d, rounds=22, local_annotators=0).toPandas()
-    both = got.merge(joined, on="episode_id")
-    assert (both.binary_risk_label_x == both.binary_risk_label_y).mean() > 0.97
+
+
+def test_the_end_is_a_standstill_and_shuffled_joins_give_the_same(spark):
+    rows, _, _ = simulated(seed=3, n=100, people=12)
+    d = consensus.usable_votes(votes(spark, rows)).coalesce(1).cache()
+    rough, fine = (consensus.fit(d, tolerance=t, chains=2) for t in (1e-6, 1e-8))
+    want = {r.episode_id: r.p_risky for r in fine.items.collect()}
+    assert fine.rounds > rough.rounds and all(abs(r.p_risky - want[r.episode_id]) < 0.01 for r in rough.items.collect())
+    here, there = consensus.fit(d, tolerance=1e-3, chains=2), consensus.fit(d, tolerance=1e-3, chains=2, local_annotators=0)
+    assert here.rounds == there.rounds
+    want = {r.episode_id: r for r in here.items.collect()}
+    got = {r.episode_id: r for r in there.items.collect()}
+    assert want.keys() == got.keys() and all(abs(got[e].p_risky - r.p_risky) < 1e-6 and got[e].n_risky == r.n_risky for e, r in want.items())
+    people = {r.annotator_id: r for r in there.annotators.collect()}
+    assert all(abs(people[r.annotator_id].competence - r.competence) < 1e-6 and people[r.annotator_id].inverted == r.inverted for r in here.annotators.collect())
 
 
 def test_consensus_edges(spark):
     d = votes(spark, [("e", "a", "1", 0.5, 3, T0), ("e", "b", "1", 5.0, 2, T0), ("e", "c", "1", None, None, T0), ("f", "a", "0", 0.0, None, T0), ("f", "b", "0", 10.0, None, T0)])
-    got = consensus.full_consensus(d, rounds=5).collect()
+    got = consensus.full_consensus(d).collect()
     assert [(r.episode_id, r.binary_risk_label, r.n_annotators, r.agreement, r.severity_score, r.first_risk_step) for r in got] == [("e", 1, 3, 1.0, 0.5, 2)]
     assert consensus.consensus(d.limit(0)).count() == 0 and consensus.annotator_reliability(d.limit(0)).count() == 0
 

@@ -4,19 +4,21 @@ Every vote is either truthful (with the annotator's competence ``theta``) or dra
 annotator's own guess distribution ``xi``. Expectation-maximisation yields the posterior of each
 item's label and both parameters. Some annotators answer the opposite of what they see; a mixture
 without them could only call such votes guesses. So every annotator has a polarity as well: where the
-votes of one contradict the posterior beyond chance, they are read inverted from then on, and the
-mixture is fitted to the inverted votes. Several chains (one informed start, the others random) run in the
-same passes; the one with the highest likelihood is kept.
+votes of one contradict the posterior beyond chance, they are read inverted from then on (and back, at
+most ``TURNS`` times), and the mixture is fitted to the inverted votes. Several chains (one informed
+start, the others at random by a hash of the annotator's id) run in the same passes, until the
+likelihood of the best stands still and no vote is read anew; the likeliest chain is kept.
 
 An E-step and the annotators' sums are one pass over items that hold their votes as a short array;
 per task the sums are added up before the shuffle. Parameters go out as a broadcast as long as there
-are at most ``local_annotators`` of them (a bound on bytes); beyond that ``_step_joined`` does the
-same arithmetic with shuffled joins.
+are at most ``local_annotators`` of them (a bound on bytes); beyond that the same chains with the same
+starts, rules and end run on shuffled joins, with the same result but for the order of sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +53,23 @@ def usable_votes(labels: DataFrame) -> DataFrame:
     )
 
 
-def _start(rng: np.random.Generator, n: int, chains: int) -> tuple[np.ndarray, np.ndarray]:
-    theta = np.concatenate([np.full((n, 1), 0.5), rng.uniform(0.2, 0.8, (n, chains - 1))], axis=1)
-    xi = np.concatenate([np.full((n, 1), 0.5), rng.uniform(0.2, 0.8, (n, chains - 1))], axis=1)
-    return theta, xi
+#: How often the reading of an annotator's votes may turn in a chain, so that every chain comes to an end.
+TURNS = 2
+#: Every so many rounds the polarities are looked at; the end is judged in these rounds only.
+EVERY = 5
+
+
+class Fit(NamedTuple):
+    items: DataFrame
+    annotators: DataFrame
+    rounds: int
+
+
+def _starts(chains: int, seed: int) -> list[Column]:
+    """Start of competence and guess of each chain: a half in the first one, else by hash in 0.2..0.8."""
+    u = lambda c, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.lit(k), F.col("annotator_id")), F.lit(1 << 20)) / float(1 << 20) * 0.6 + 0.2
+    pairs = [(F.lit(0.5), F.lit(0.5)) if c == 0 else (u(c, 0), u(c, 1)) for c in range(chains)]
+    return [x.alias(f"{n}{c}") for c, pair in enumerate(pairs) for n, x in zip(("t", "x"), pair, strict=True)]
 
 
 def _log_tables(theta: np.ndarray, xi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,37 +116,41 @@ def _arrays(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def fit(votes: DataFrame, rounds: int = 50, chains: int = 6, smooth: float = 0.5, seed: int = 11, local_annotators: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """``(items, annotators)``: ``episode_id, n_votes, n_risky, p_risky`` and ``annotator_id, n_votes, competence, guess_risky, inverted``."""
+def _over(likelihood: float, previous: float | None, tolerance: float) -> bool:
+    return previous is not None and abs(likelihood - previous) <= tolerance * max(1.0, abs(previous))
+
+
+def fit(votes: DataFrame, tolerance: float = 1e-6, chains: int = 6, smooth: float = 0.5, seed: int = 11, local_annotators: int = 200_000) -> Fit:
+    """``items``: ``episode_id, n_votes, n_risky, p_risky``; ``annotators``: ``annotator_id, n_votes, competence, guess_risky, inverted``; and the rounds it took.
+
+    It ends when the likelihood of the best chain changes by at most ``tolerance`` of itself in a round
+    and none of its polarities turns; no number of rounds ends it.
+    """
     spark = votes.sparkSession
     votes = written(votes.select("episode_id", "annotator_id", "vote"), "votes")
-    names = votes.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_votes"), F.sum("vote").alias("n_one"))
+    names = written(votes.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_votes"), F.sum("vote").alias("n_one")).select("*", *_starts(chains, seed)), "annotators")
     if names.count() > local_annotators:
-        return _fit_joined(votes, rounds, smooth)
+        return _fit_joined(votes, names, tolerance, chains, smooth)
     known = names.orderBy("annotator_id").toPandas()  # at most local_annotators rows
     if not len(known):
-        return (
-            spark.createDataFrame([], "episode_id string, n_votes long, n_risky long, p_risky double"),
-            spark.createDataFrame([], _ANNOTATORS),
-        )
+        return Fit(spark.createDataFrame([], "episode_id string, n_votes long, n_risky long, p_risky double"), spark.createDataFrame([], _ANNOTATORS), 0)
     j = len(known)
     index = spark.createDataFrame([(a, i) for i, a in enumerate(known.annotator_id)], "annotator_id string, i int")
     # an item has at most one vote per annotator, and there are at most local_annotators of them
     coded = votes.join(index, "annotator_id").groupBy("episode_id").agg(F.collect_list(F.col("i") * 2 + F.col("vote")).alias("codes"))
     items = written(coded, "vote-items")
 
-    rng = np.random.default_rng(seed)
-    theta, xi = _start(rng, j, chains)
+    theta, xi = (known[[f"{n}{c}" for c in range(chains)]].to_numpy(float) for n in ("t", "x"))
     prior = np.full(chains, 0.5)
     counts = np.stack([known.n_votes - known.n_one, known.n_one], axis=1).astype(float)[:, :, None]
     counts = np.repeat(counts, chains, axis=2)
-    flip = np.zeros((j, chains), bool)
-    n_items, best, previous = items.count(), 0, None
+    flip, turns = np.zeros((j, chains), bool), np.zeros((j, chains), int)
+    n_items, previous, k = items.count(), None, 0
 
     def tables() -> tuple[np.ndarray, np.ndarray]:
         return tuple(_turned(x.reshape(j, 2, chains), flip).reshape(2 * j, chains) for x in _log_tables(theta, xi))
 
-    for k in range(rounds):
+    while True:
         one, zero = tables()
         shipped = spark.sparkContext.broadcast((one, zero, prior))
 
@@ -164,14 +183,14 @@ def fit(votes: DataFrame, rounds: int = 50, chains: int = 6, smooth: float = 0.5
         n_read = _turned(counts, flip)
         agree_read = np.where(flip[:, None, :], _turned(counts - agree, flip), agree)
         theta, xi = _update(n_read, agree_read, theta, xi, smooth)
-        turned = k % 5 == 4 and k < rounds - 10
-        if turned:
-            wrong = _inverted(n_read, agree_read)
-            flip, theta, xi = flip ^ wrong, np.where(wrong, 0.5, theta), np.where(wrong, 1 - xi, xi)
+        looked, turned, k = k % EVERY == EVERY - 1, False, k + 1
+        if looked:
+            wrong = _inverted(n_read, agree_read) & (turns < TURNS)
+            flip, turns, theta, xi = flip ^ wrong, turns + wrong, np.where(wrong, 0.5, theta), np.where(wrong, 1 - xi, xi)
             turned = bool(wrong[:, best].any())
         prior = np.clip((dense[1] + 1) / (n_items + 2), 1e-3, 1 - 1e-3)
         shipped.unpersist()
-        if k > 10 and not turned and previous is not None and abs(likelihood[best] - previous) < 1e-6 * max(1.0, abs(previous)):
+        if looked and not turned and _over(likelihood[best], previous, tolerance):
             break
         previous = likelihood[best]
     final = spark.sparkContext.broadcast((*[x[:, [best]] for x in tables()], prior[[best]]))
@@ -187,53 +206,67 @@ def fit(votes: DataFrame, rounds: int = 50, chains: int = 6, smooth: float = 0.5
 
     known["competence"], known["guess_risky"], known["inverted"] = theta[:, best], np.where(flip[:, best], 1 - xi[:, best], xi[:, best]), flip[:, best]
     annotators = spark.createDataFrame(known[["annotator_id", "n_votes", "competence", "guess_risky", "inverted"]], _ANNOTATORS)
-    return items.mapInArrow(label, "episode_id string, n_votes long, n_risky long, p_risky double"), annotators
+    return Fit(items.mapInArrow(label, "episode_id string, n_votes long, n_risky long, p_risky double"), annotators, k)
 
 
-def _fit_joined(votes: DataFrame, rounds: int, smooth: float) -> tuple[DataFrame, DataFrame]:
-    """The informed chain of ``fit`` with shuffled joins, for more annotators than a broadcast may hold."""
-    start = {"competence": F.lit(0.5), "guess_risky": F.lit(0.5), "inverted": F.lit(False)}
-    people = written(votes.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_votes")).withColumns(start), "annotators")
-    prior, previous, n_items = 0.5, None, max(votes.select("episode_id").distinct().count(), 1)
-    t, x, read = F.col("competence"), F.col("guess_risky"), F.col("read")
-    guess = F.when(read == 1, x).otherwise(1 - x)
+def _fit_joined(votes: DataFrame, names: DataFrame, tolerance: float, chains: int, smooth: float) -> Fit:
+    """``fit`` with shuffled joins, all chains side by side in columns, for more annotators than a broadcast may hold."""
+    each = range(chains)
+    people = names.select("annotator_id", "n_votes", *[f"{n}{c}" for c in each for n in ("t", "x")], *[F.lit(False).alias(f"f{c}") for c in each], *[F.lit(0).alias(f"r{c}") for c in each])
+    prior, previous, k = [0.5] * chains, None, 0
+    n_items = votes.select("episode_id").distinct().count()
     clip = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
-    items = None
-    for k in range(rounds):
-        seen = votes.join(people, "annotator_id").withColumn("read", F.when(F.col("inverted"), 1 - F.col("vote")).otherwise(F.col("vote")))
-        one = F.log(F.when(read == 1, t).otherwise(0.0) + (1 - t) * guess)
-        zero = F.log(F.when(read == 0, t).otherwise(0.0) + (1 - t) * guess)
-        sums = seen.groupBy("episode_id").agg(F.sum(one).alias("a"), F.sum(zero).alias("b"), F.count(F.lit(1)).alias("n_votes"), F.sum("vote").alias("n_risky"))
-        a, b = F.col("a") + F.log(F.lit(prior)), F.col("b") + F.log(F.lit(1 - prior))
-        z = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-        items = written(sums.select("episode_id", "n_votes", "n_risky", F.exp(a - z).alias("p_risky"), z.alias("z")), "posteriors")
-        likelihood, mass = items.agg(F.sum("z"), F.sum("p_risky")).first()
-        likelihood = likelihood or 0.0
-        p = F.col("p_risky")
-        truthful = F.when(read == 1, p).otherwise(1 - p) * t / (t + (1 - t) * guess)
-        sums = seen.join(items.select("episode_id", "p_risky"), "episode_id").groupBy("annotator_id", "inverted", "guess_risky").agg(
-            F.count(F.lit(1)).alias("n_votes"), F.sum(truthful).alias("true_n"), F.sum(F.when(read == 1, 1 - truthful).otherwise(0.0)).alias("one_n"),
-            F.sum(p).alias("risky"), F.sum(1 - p).alias("safe"), F.sum(p * read).alias("hit"), F.sum((1 - p) * read).alias("slip"),
+    read = lambda c: F.when(F.col(f"f{c}"), 1 - F.col("vote")).otherwise(F.col("vote"))
+    guess = lambda c: F.when(read(c) == 1, F.col(f"x{c}")).otherwise(1 - F.col(f"x{c}"))
+
+    def posteriors(people: DataFrame) -> DataFrame:
+        """``episode_id, n_votes, n_risky`` and by chain the posterior ``p`` and the log-likelihood ``z``; written."""
+        seen = votes.join(people, "annotator_id")
+        log = lambda c, y: F.log(F.when(read(c) == y, F.col(f"t{c}")).otherwise(0.0) + (1 - F.col(f"t{c}")) * guess(c))
+        sums = seen.groupBy("episode_id").agg(
+            F.count(F.lit(1)).alias("n_votes"), F.sum("vote").alias("n_risky"), *[F.sum(log(c, 1)).alias(f"a{c}") for c in each], *[F.sum(log(c, 0)).alias(f"b{c}") for c in each]
         )
-        hit, slip = (F.col("hit") + 0.5) / (F.col("risky") + 1), (F.col("slip") + 0.5) / (F.col("safe") + 1)
-        spread = F.sqrt(hit * (1 - hit) / (F.col("risky") + 1) + slip * (1 - slip) / (F.col("safe") + 1))
-        turns = k % 5 == 4 and k < rounds - 10
-        wrong = ((slip - hit) / F.greatest(spread, F.lit(1e-9)) > 3) if turns else F.lit(False)
-        theta = clip((F.col("true_n") + smooth) / (F.col("n_votes") + 2 * smooth))
-        xi = clip((F.col("one_n") + smooth) / (F.col("n_votes") - F.col("true_n") + 2 * smooth))
-        people = written(
-            sums.select(
-                "annotator_id", "n_votes", F.when(wrong, 0.5).otherwise(theta).alias("competence"),
-                F.when(wrong, 1 - xi).otherwise(xi).alias("guess_risky"), (F.col("inverted") != wrong).alias("inverted"),
-            ),
-            "annotators",
-        )
-        prior = min(max(((mass or 0.0) + 1) / (n_items + 2), 1e-3), 1 - 1e-3)
-        if k > 10 and not turns and previous is not None and abs(likelihood - previous) < 1e-6 * max(1.0, abs(previous)):
+        out = []
+        for c in each:
+            a, b = F.col(f"a{c}") + float(np.log(prior[c])), F.col(f"b{c}") + float(np.log(1 - prior[c]))
+            z = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+            out += [F.exp(a - z).alias(f"p{c}"), z.alias(f"z{c}")]
+        return written(sums.select("episode_id", "n_votes", "n_risky", *out), "posteriors")
+
+    while True:
+        items = posteriors(people)
+        total = items.agg(*[F.sum(f"z{c}").alias(f"z{c}") for c in each], *[F.sum(f"p{c}").alias(f"p{c}") for c in each]).first()
+        likelihood = [total[f"z{c}"] for c in each]
+        best = int(np.argmax(likelihood))
+        aggs = []
+        for c in each:
+            p, r, t = F.col(f"p{c}"), read(c), F.col(f"t{c}")
+            truthful = F.when(r == 1, p).otherwise(1 - p) * t / (t + (1 - t) * guess(c))
+            aggs += [
+                F.sum(truthful).alias(f"true{c}"), F.sum(F.when(r == 1, 1 - truthful).otherwise(0.0)).alias(f"one{c}"), F.sum(p).alias(f"risky{c}"),
+                F.sum(1 - p).alias(f"safe{c}"), F.sum(p * r).alias(f"hit{c}"), F.sum((1 - p) * r).alias(f"slip{c}"),
+            ]
+        sums = votes.join(people, "annotator_id").join(items.select("episode_id", *[f"p{c}" for c in each]), "episode_id").groupBy("annotator_id").agg(*aggs)
+        looked, k = k % EVERY == EVERY - 1, k + 1
+        columns, wrongs = [], []
+        for c in each:
+            get = lambda n, c=c: F.col(f"{n}{c}")
+            hit, slip = (get("hit") + 0.5) / (get("risky") + 1), (get("slip") + 0.5) / (get("safe") + 1)
+            spread = F.sqrt(hit * (1 - hit) / (get("risky") + 1) + slip * (1 - slip) / (get("safe") + 1))
+            wrong = ((slip - hit) / F.greatest(spread, F.lit(1e-9)) > 3) & (get("r") < TURNS) if looked else F.lit(False)
+            theta = clip((get("true") + smooth) / (F.col("n_votes") + 2 * smooth))
+            xi = clip((get("one") + smooth) / (F.col("n_votes") - get("true") + 2 * smooth))
+            columns += [F.when(wrong, 0.5).otherwise(theta).alias(f"t{c}"), F.when(wrong, 1 - xi).otherwise(xi).alias(f"x{c}"), (get("f") != wrong).alias(f"f{c}"), (get("r") + wrong.cast("int")).alias(f"r{c}")]
+            wrongs.append(wrong.alias(f"w{c}"))
+        people = written(people.select("annotator_id", "n_votes", *[f"{n}{c}" for c in each for n in ("t", "x", "f", "r")]).join(sums, "annotator_id").select("annotator_id", "n_votes", *columns, *wrongs), "annotators")
+        turned = looked and bool(people.agg(F.max(f"w{best}")).first()[0])
+        prior = [min(max((total[f"p{c}"] + 1) / (n_items + 2), 1e-3), 1 - 1e-3) for c in each]
+        if looked and not turned and _over(likelihood[best], previous, tolerance):
             break
-        previous = likelihood
-    xi = F.when(F.col("inverted"), 1 - F.col("guess_risky")).otherwise(F.col("guess_risky"))
-    return items.drop("z"), people.withColumn("guess_risky", xi)
+        previous = likelihood[best]
+    xi = F.when(F.col(f"f{best}"), 1 - F.col(f"x{best}")).otherwise(F.col(f"x{best}"))
+    annotators = people.select("annotator_id", "n_votes", F.col(f"t{best}").alias("competence"), xi.alias("guess_risky"), F.col(f"f{best}").alias("inverted"))
+    return Fit(posteriors(people).select("episode_id", "n_votes", "n_risky", F.col(f"p{best}").alias("p_risky")), annotators, k)
 
 
 def consensus(labels: DataFrame, least: int = 3, **how) -> DataFrame:
@@ -242,7 +275,7 @@ def consensus(labels: DataFrame, least: int = 3, **how) -> DataFrame:
     ``agreement`` is the share of its annotators whose vote is the consensus. Votes of episodes with fewer
     annotators still count for the annotators' parameters. A posterior of exactly a half is read as 0.
     """
-    items, _ = fit(usable_votes(labels), **how)
+    items = fit(usable_votes(labels), **how).items
     label = (F.col("p_risky") > 0.5).cast("long")
     agreed = F.when(label == 1, F.col("n_risky")).otherwise(F.col("n_votes") - F.col("n_risky"))
     return items.where(F.col("n_votes") >= least).select(
@@ -252,7 +285,7 @@ def consensus(labels: DataFrame, least: int = 3, **how) -> DataFrame:
 
 def annotator_reliability(labels: DataFrame, **how) -> DataFrame:
     """``annotator_id, n_votes, competence, guess_risky, inverted``: share of truthful votes, share of 1 among the guesses, polarity."""
-    return fit(usable_votes(labels), **how)[1]
+    return fit(usable_votes(labels), **how).annotators
 
 
 def full_consensus(labels: DataFrame, least: int = 3, **how) -> DataFrame:
@@ -263,7 +296,7 @@ def full_consensus(labels: DataFrame, least: int = 3, **how) -> DataFrame:
     agreeing vote has one.
     """
     votes = written(usable_votes(labels), "usable-votes")
-    items, _ = fit(votes, **how)
+    items = fit(votes, **how).items
     label = (F.col("p_risky") > 0.5).cast("long")
     agreed = F.when(label == 1, F.col("n_risky")).otherwise(F.col("n_votes") - F.col("n_risky"))
     found = items.where(F.col("n_votes") >= least).select(
