@@ -45,14 +45,14 @@ def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p6_found": p6_found, "p6_events": p6_events}
 
 _HOOK = "case regexp_replace(lower(hook_type), '[\\s_\\-]+', '', 'g') when 'prestep' then 'pre_step' when 'poststep' then 'post_step' when 'checkpoint' then 'checkpoint' when 'final' then 'final' end"
-_AT = """case when regexp_full_match(trim(timestamp), '[0-9]{1,15}') then cast(trim(timestamp) as bigint) * 1000
+AT = """case when regexp_full_match(trim(timestamp), '[0-9]{1,15}') then cast(trim(timestamp) as bigint) * 1000
   when regexp_matches(trim(timestamp), '(Z|[+-][0-9]{2}:[0-9]{2})$') then epoch_us(try_cast(trim(timestamp) as timestamptz))
   else epoch_us(try_cast(trim(timestamp) as timestamp)) end"""
-_CASES = f"""cases as (
+CASES = f"""cases as (
   select *, row_number() over (partition by episode_id, step_id, hook, moment order by ingested_at nulls last, ingest_id) as nth from (
-    select ingest_id, episode_id, step_id, {_HOOK} as hook, {_AT} as moment, ingested_at from trace_events where trim(episode_id) <> '' and step_id is not null)
+    select ingest_id, episode_id, step_id, {_HOOK} as hook, {AT} as moment, ingested_at from trace_events where trim(episode_id) <> '' and step_id is not null)
   where hook is not null and moment is not null)"""
 SQL = {
-    "p2_found": f"with {_CASES} select ingest_id from cases where nth > 1",
-    "p2_kept": f"with {_CASES} select ingest_id, episode_id, step_id, hook as hook_type, moment as at_micros from cases where nth = 1",
+    "p2_found": f"with {CASES} select ingest_id from cases where nth > 1",
+    "p2_kept": f"with {CASES} select ingest_id, episode_id, step_id, hook as hook_type, moment as at_micros from cases where nth = 1",
 }
