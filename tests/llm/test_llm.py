@@ -75,6 +75,15 @@ def test_conversation_turns(make_events):
     assert conversations.conversations(empty).count() == 0 and reasons(empty) == []
 
 
+@pytest.mark.parametrize("block", [2, 5, 1024])
+def test_an_instruction_is_said_once_whatever_the_block(make_events, monkeypatch, block):
+    monkeypatch.setattr(conversations, "BLOCK", block)
+    asks = {1: "please", 2: "please", 3: None, 4: " ", 5: "please", 6: "now this", 9: "now this", 10: "please"}
+    rows = [dict(r, user_instruction=asks.get(r["step_id"]), timestamp="2026-01-05T00:00:00Z") for r in sound("a", 12)]
+    got = conversations.conversations(make_events(*rows)).where("role = 'user'").orderBy("turn_no").collect()
+    assert [(r.turn_no, r.step_id, r.text) for r in got] == [(1, 1, "please"), (12, 6, "now this"), (21, 10, "please")]
+
+
 def test_extra_columns_do_not_clash(make_events):
     e = make_events(*sound("a")).withColumns({c: F.lit(1) for c in ("hook", "block", "turns", "obs", "at")})
     assert reasons(e) == []

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.readings import has_words, hook_ord, is_blank, read_hook, read_instant
 from tracelode.operators.deliveries import keep_one
+from tracelode.session import written
 
 BLOCK = 1024
 
@@ -120,24 +121,31 @@ def dropped_conversations(events: DataFrame) -> DataFrame:
 def conversations(events: DataFrame) -> DataFrame:
     """The sound conversations: ``episode_id, turn_no, step_id, hook_type, role, text`` in order.
 
-    A row yields up to three turns: the user's instruction (only where it is new within its block of
-    steps) or checkpoint, the assistant's plan and proposed tool or final answer, the tool's
-    observation. Superfluous deliveries are removed first, attempts at a step stay in order of their
-    instants. ``turn_no`` starts at 1 and has no gaps.
+    A row yields up to three turns: the user's instruction (only where it differs from the last one that
+    had words, however far back) or checkpoint, the assistant's plan and proposed tool or final answer,
+    the tool's observation. Superfluous deliveries are removed first, attempts at a step stay in order of
+    their instants. ``turn_no`` starts at 1 and has no gaps.
     """
     bad = dropped_conversations(events).select("episode_id").distinct()
+    texts = ("user_instruction", "plan_summary", "proposed_tool", "observation")
     rows = (
         keep_one(events)
         .where(~is_blank(F.col("episode_id")))
         .join(bad, "episode_id", "left_anti")
-        .withColumn("hook", read_hook(F.col("hook_type")))
-        .withColumn("at", read_instant(F.col("timestamp")))
-        .withColumn("block", _block(F.col("step_id")))
+        .select(
+            "episode_id", _block(F.col("step_id")).alias("block"), "step_id", read_hook(F.col("hook_type")).alias("hook"), read_instant(F.col("timestamp")).alias("at"), "ingest_id", *texts,
+        )
+        .withColumn("mark", F.when(has_words(F.col("user_instruction")), F.md5("user_instruction")))
     )
-    order = ["step_id", hook_ord(F.col("hook")), F.col("at").asc_nulls_last(), "ingest_id"]
-    in_block = Window.partitionBy("episode_id", "block").orderBy(*order)
-    said = F.lag("user_instruction").over(in_block)
-    new_user = has_words(F.col("user_instruction")) & ~F.col("user_instruction").eqNullSafe(said)
+    rows = written(rows, "sound-rows")
+    place = [F.col("step_id"), hook_ord(F.col("hook")).alias("ord"), F.col("at").isNull().alias("undated"), F.col("at"), F.col("ingest_id")]
+    by_block = Window.partitionBy("episode_id", "block")
+    in_block = by_block.orderBy("step_id", hook_ord(F.col("hook")), F.col("at").asc_nulls_last(), "ingest_id")
+    earlier = Window.partitionBy("episode_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # what was asked last before a block: one hash per block, so that no task needs an episode's rows
+    asked = rows.groupBy("episode_id", "block").agg(F.max(F.when(F.col("mark").isNotNull(), F.struct(*place, "mark")))["mark"].alias("m"))
+    asked = asked.select("episode_id", "block", F.last("m", ignorenulls=True).over(earlier).alias("asked"))
+    said = F.coalesce(F.last("mark", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.col("asked"))
     hook = F.col("hook")
     plan = F.concat_ws("\n", F.when(has_words(F.col("plan_summary")), F.col("plan_summary")), F.col("proposed_tool"))
 
@@ -146,21 +154,18 @@ def conversations(events: DataFrame) -> DataFrame:
 
     turns = F.array_compact(
         F.array(
-            turn(F.col("new_user"), "user", F.col("user_instruction")),
+            turn(F.col("mark").isNotNull() & ~F.col("mark").eqNullSafe(F.col("said")), "user", F.col("user_instruction")),
             turn(hook == "checkpoint", "user", F.coalesce("observation", "plan_summary")),
             turn(hook == "pre_step", "assistant", plan),
             turn(hook == "post_step", "tool", F.col("observation")),
             turn(hook == "final", "assistant", F.coalesce("observation", "plan_summary")),
         )
     )
-    per_row = rows.withColumn("new_user", new_user).select(
-        "episode_id", "block", "step_id", "hook", F.row_number().over(in_block).alias("row_no"), turns.alias("turns")
-    )
-    upto = Window.partitionBy("episode_id", "block").orderBy("row_no")
-    numbered = per_row.withColumn("before_in_block", F.coalesce(F.sum(F.size("turns")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per block, so that the offsets of an episode never need its rows in one task
-    blocks = per_row.groupBy("episode_id", "block").agg(F.sum(F.size("turns")).alias("n"))
-    earlier = Window.partitionBy("episode_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per_row = rows.join(asked, ["episode_id", "block"]).withColumn("said", said).withColumn("turns", turns)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = per_row.select("episode_id", "block", "step_id", "hook", "turns", F.coalesce(F.sum(F.size("turns")).over(upto), F.lit(0)).alias("before_in_block"))
+    numbered = written(numbered, "numbered-turns")
+    blocks = numbered.groupBy("episode_id", "block").agg(F.sum(F.size("turns")).alias("n"))
     offsets = blocks.select("episode_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return (
         numbered.join(offsets, ["episode_id", "block"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import consensus, conversations, encoding, grouped_splits, leakage, mojibake, survivorship
+from tracelode.plans import training_core
 from tracelode.session import table
 
 
@@ -97,6 +98,18 @@ union all select episode_id, 'broken' from x where words and broken
 union all select episode_id, 'missing_reply' from x where words and missing
 """
 
+P1_TURNS = f"""
+with {training_core.CASES}, bad as (select distinct episode_id from ({P1.strip()})),
+d as (select e.*, {_HOOK} as hook, {training_core.AT} as moment from trace_events e where regexp_matches(episode_id, '\\S') and episode_id not in (select episode_id from bad)
+  and coalesce(ingest_id not in (select ingest_id from cases where nth > 1), true)),
+w as (select *, case hook when 'pre_step' then 0 when 'post_step' then 1 when 'checkpoint' then 2 else 3 end as ord, case when regexp_matches(user_instruction, '[\\p{{L}}\\p{{N}}]') then user_instruction end as asked,
+  concat_ws(chr(10), case when regexp_matches(plan_summary, '[\\p{{L}}\\p{{N}}]') then plan_summary end, proposed_tool) as plan from d),
+s as (select *, last_value(asked ignore nulls) over (partition by episode_id order by step_id, ord, moment nulls last, ingest_id rows between unbounded preceding and 1 preceding) as said from w),
+t as (select *, 0 as k, 'user' as role, asked as text from s where asked is not null and asked is distinct from said
+  union all select *, 1, case hook when 'checkpoint' then 'user' when 'post_step' then 'tool' else 'assistant' end, case hook when 'pre_step' then plan when 'post_step' then observation else coalesce(observation, plan_summary) end from s)
+select episode_id, row_number() over (partition by episode_id order by step_id, ord, moment nulls last, ingest_id, k) as turn_no, step_id, hook as hook_type, role, text from t where regexp_matches(text, '[\\p{{L}}\\p{{N}}]')
+"""
+
 _PART = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g'), '(^|[a-z])0+([0-9])', '\\1\\2', 'g')"
 _NONE = "('null', 'none', '(none)', 'n/a', 'na', 'nan', 'nil', 'unknown', 'missing', 'tbd', '?', '-', '')"
 
@@ -120,6 +133,15 @@ select group_id, field_name, record_id from (
   from f join g using (key) where value is not null and lower(trim(value, ' \t\r\n')) not in {_NONE}) where nth = 1
 """
 
+P4_RECORDS = f"""
+with {_KEYED},
+g as (select key, min(record_id) as group_id from keyed where key is not null group by 1 having count(*) >= 2),
+f as (select key, record_id, trust, updated_at, unnest(['user_task_id', 'prompt', 'agent_name', 'sandbox_id']) as field_name, unnest([user_task_id, prompt, agent_name, sandbox_id]) as value from keyed where key is not null),
+b as (select key, field_name, value from (select *, row_number() over (partition by key, field_name order by trust desc nulls last, updated_at desc nulls last, record_id) as nth from f
+  where value is not null and lower(trim(value, ' \t\r\n')) not in {_NONE}) where nth = 1)
+select group_id, {', '.join(f"max(value) filter (where field_name = '{n}') as {n}" for n in survivorship.FIELDS)} from g left join b using (key) group by 1
+"""
+
 P5 = """
 with recursive ids as (select distinct episode_id from trace_events where regexp_matches(episode_id, '\\S')),
 l as (select episode_id as a, linked_episode_id as b from episode_links where regexp_matches(episode_id, '\\S') and regexp_matches(linked_episode_id, '\\S')),
@@ -136,4 +158,4 @@ select episode_id, group_id from m join g using (root)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p5_found": P5}
+    return {"p1_found": P1, "p1_conversations": P1_TURNS, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5}
