@@ -281,11 +281,42 @@ def test_leaks(spark):
     assert got == [(0, 1), (2, 1), (4, 1), (5, 1), (7, 1), (10, 1), (11, 1)]
 
 
-def test_leaks_edges(spark, monkeypatch):
+def test_leaks_edges(spark):
     assert run_of(spark, ITEM, items=((1, "too short"), (2, None))) == []
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 30)
     other = ITEM.replace("Alpha", "Zulu").replace("Bravo", "Yankee")
     assert run_of(spark, ITEM, items=((1, ITEM), (2, other), (3, ITEM))) == [(0, 1), (0, 2), (0, 3)]
+    assert run_of(spark, ITEM, items=()) == [] and run_of(spark, items=((1, ITEM),)) == []
+
+
+def test_items_that_share_a_template(spark):
+    rng = random.Random(12)
+    own = lambda k: [f"w{k}n{j}" for j in range(9)]
+    template = "which tool call should the agent make first and why does it matter here".split()
+    items = [(k, " ".join([*own(k), *template, *own(k + 500)])) for k in range(300)]
+    texts, want = [], []
+    for n, k in enumerate(rng.sample(range(300), 25)):
+        ws = items[k][1].split()
+        a = rng.randint(0, len(ws) - 18)
+        part = ws[a : a + 18]
+        for e in rng.sample(range(1, 17), 3):
+            part[e] = "changed"
+        texts.append("so " + " ".join(part) + " then")
+        if leakage.holds_run(ws, texts[-1].split()):
+            want.append((n, k))
+    texts += [" ".join(template[:12])] * 20  # the template alone is no passage
+    assert len(want) == 25 and run_of(spark, *texts, items=tuple(items)) == want
+
+
+def test_spared_sequences_leave_a_seed():
+    for length in range(leakage.LEAST, 2 * leakage.LEAST):
+        n = length - leakage.SEED + 1
+        lost = leakage.SPARED * (n // leakage.WINDOW) + min(leakage.SPARED, n % leakage.WINDOW)
+        assert n - leakage.SEED * (length // leakage.TOLERANCE) - lost >= 1
+    rng = random.Random(1)
+    for _ in range(50):
+        keep = leakage.spared([rng.choice([1, 2, 5, 300]) for _ in range(rng.randint(1, 60))])
+        assert all(sum(not x for x in keep[a : a + leakage.WINDOW]) <= leakage.SPARED for a in range(len(keep)))
+    assert leakage.spared([9, 4, 300, 300, 5]) == [True, True, False, False, True]
 
 
 def test_runs_equal_brute_force():
