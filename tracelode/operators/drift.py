@@ -23,76 +23,66 @@ from tracelode.session import written
 TARGET = {"episode_id": "string", "step_id": "bigint", "hook_type": "string", "severity": "double"}
 ROOTS = ("tool_args", "notes")
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-_LEAVES = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
 
 
-class _Number(str):
-    """A JSON number with its text as written."""
+class _Integer(str):
+    """A JSON number without fraction, as written."""
 
-    __slots__ = ("kind",)
+    __slots__ = ()
 
 
-def _integer(s: str) -> _Number:
-    n = _Number(s)
-    n.kind = "integer"
-    return n
+class _Real(str):
+    """Any other JSON number, as written."""
 
+    __slots__ = ()
 
-def _real(s: str) -> _Number:
-    n = _Number(s)
-    n.kind = "number"
-    return n
 
-
-def _decode(text: str) -> object:
-    return json.loads(text, parse_int=_integer, parse_float=_real, parse_constant=_real)
-
-
-def _text(v: object) -> str:
-    """A value as text; arrays and objects as JSON with sorted keys."""
-    if isinstance(v, str):
-        return str(v)
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if v is None:
-        return "null"
-    if isinstance(v, list):
-        return "[" + ", ".join(_json(x) for x in v) + "]"
-    return "{" + ", ".join(f"{json.dumps(k)}: {_json(x)}" for k, x in sorted(v.items())) + "}"
+_HOOKS = dict(parse_int=_Integer, parse_float=_Real, parse_constant=_Real)
+_quoted = json.encoder.encode_basestring
+_KINDS = {_Integer: "integer", _Real: "number", bool: "boolean", list: "array"}
 
 
 def _json(v: object) -> str:
-    return json.dumps(v, ensure_ascii=False) if isinstance(v, str) and not isinstance(v, _Number) else _text(v)
+    kind = type(v)
+    if kind is str:
+        return _quoted(v)
+    if kind is _Integer or kind is _Real:
+        return str(v)
+    if kind is dict:
+        return "{" + ", ".join([f"{json.dumps(k)}: {_json(v[k])}" for k in sorted(v)]) + "}"
+    if kind is list:
+        return "[" + ", ".join([_json(x) for x in v]) + "]"
+    return "null" if v is None else "true" if v else "false"
 
 
-def _as_object(v: object) -> dict | None:
-    """The object that a value is, be it kept as JSON text."""
-    if isinstance(v, dict):
-        return v
-    if isinstance(v, str) and not isinstance(v, _Number) and v.lstrip()[:1] == "{":
-        try:
-            o = _decode(v.strip())
-        except (ValueError, RecursionError):
-            return None
-        return o if isinstance(o, dict) else None
-    return None
+def _as_object(text: str) -> dict | None:
+    """The object that a text keeps as JSON, if it is one."""
+    if text.lstrip()[:1] != "{":
+        return None
+    try:
+        o = json.loads(text.strip(), **_HOOKS)
+    except (ValueError, RecursionError):
+        return None
+    return o if type(o) is dict else None
 
 
-def leaves(name: str, value: object, root: bool = True) -> Iterator[tuple[str, str, str | None]]:
+def leaves(name: str, value: object) -> list[tuple[str, str, str | None]]:
     """``path, type, text`` of a root field and of the leaves below it. A null is no field, an array is a leaf."""
-    todo = [(name, value, root)]
+    out: list[tuple[str, str, str | None]] = []
+    todo = [(name, value, True)]
     while todo:
         path, v, top = todo.pop()
-        if v is None:
-            continue
-        inner = _as_object(v)
-        if inner is None:
-            kind = v.kind if isinstance(v, _Number) else "boolean" if isinstance(v, bool) else "array" if isinstance(v, list) else "string"
-            yield path, kind, _text(v)
-        else:
+        kind = type(v)
+        inner = v if kind is dict else _as_object(v) if kind is str and "{" in v else None
+        if inner is not None:
             if top:
-                yield path, "object" if isinstance(v, dict) else "string", None
-            todo.extend((f"{path}.{k}", x, False) for k, x in inner.items())
+                out.append((path, "object" if kind is dict else "string", None))
+            todo.extend([(f"{path}.{k}", x, False) for k, x in inner.items() if x is not None])
+        elif kind is str:
+            out.append((path, "string", v))
+        elif v is not None:
+            out.append((path, _KINDS[kind], _json(v)))
+    return out
 
 
 def _fit(v: object, kind: str) -> tuple[bool, object]:
@@ -101,10 +91,10 @@ def _fit(v: object, kind: str) -> tuple[bool, object]:
         if v is None:
             return True, None
         if kind == "string":
-            return isinstance(v, str) and not isinstance(v, _Number), str(v)
+            return type(v) is str, str(v)
         if kind == "boolean":
-            return isinstance(v, bool), v
-        if isinstance(v, bool) or not isinstance(v, str):
+            return type(v) is bool, v
+        if not isinstance(v, str):
             return False, None
         if kind == "bigint":
             n = int(v)
@@ -124,11 +114,14 @@ def ingest(lines: DataFrame, target: dict[str, str] | None = None, roots: tuple[
     keep = ("line_id", "feed", "file_no", "line_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = json.JSONDecoder(**_HOOKS).decode
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in ("readable", *target, "rescued", "leaves")}
+            cols: dict[str, list] = {c: [] for c in ("readable", *target, "rescued")}
+            found: list[tuple[str, str, str | None]] = []
+            ends = [0]
             for raw in batch.column(batch.schema.get_field_index("raw_line")).to_pylist():
                 try:
-                    o = _decode(raw.strip()) if raw else None
+                    o = decode(raw.strip()) if raw else None
                 except (ValueError, RecursionError):
                     o = None
                 ok = isinstance(o, dict)
@@ -140,10 +133,14 @@ def ingest(lines: DataFrame, target: dict[str, str] | None = None, roots: tuple[
                     if fits:
                         rest.pop(c, None)
                 cols["rescued"].append(_json(rest) if ok else None if raw is None else json.dumps(raw, ensure_ascii=False))
-                cols["leaves"].append([dict(zip(("path", "kind", "value"), x, strict=True)) for r in roots for x in leaves(r, rest.get(r))])
+                for r in roots:
+                    found.extend(leaves(r, rest.get(r)))
+                ends.append(len(found))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            kinds = [pa.bool_(), *[_ARROW[k] for k in target.values()], pa.string(), _LEAVES]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)]], [*keep, *cols])
+            kinds = [pa.bool_(), *[_ARROW[k] for k in target.values()], pa.string()]
+            parts = [pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], [], []))]
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["path", "kind", "value"]))
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], flat], [*keep, *cols, "leaves"])
 
     columns = ", ".join(f"`{c}` {k}" for c, k in target.items())
     schema = f"line_id bigint, feed string, file_no bigint, line_no bigint, readable boolean, {columns}, rescued string, leaves array<struct<path: string, kind: string, value: string>>"
@@ -197,8 +194,9 @@ def changes(ingested: DataFrame, agree: float = 0.9) -> DataFrame:
     )
     ratio = F.col("same") / F.col("had")
     fits = same.join(had, ["feed", "file_no", "old"]).where(ratio >= agree).select("feed", "file_no", "old", "new", ratio.alias("ratio"))
-    # the candidates of one file: at most its gone paths times its new ones
-    renamed = written(fits.groupBy("feed", "file_no").applyInPandas(_pair_off, "feed string, file_no bigint, old string, new string"), "renamed")
+    # the candidates of one file, at most its gone paths times its new ones, stand together and in order
+    ordered = fits.repartition("feed", "file_no").sortWithinPartitions("feed", "file_no", F.desc("ratio"), "old", "new")
+    renamed = written(ordered.mapInArrow(_pair_off, "feed string, file_no bigint, old string, new string"), "renamed")
 
     lit = lambda k: F.lit(k).alias("change_kind")
     empty = F.lit("").alias("detail")
@@ -217,14 +215,20 @@ def changes(ingested: DataFrame, agree: float = 0.9) -> DataFrame:
     return rename_rows.unionByName(removed).unionByName(added).unionByName(retyped)
 
 
-def _pair_off(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken_old, taken_new, rows = set(), set(), []
-    for r in pdf.sort_values(["ratio", "old", "new"], ascending=[False, True, True]).itertuples():
-        if r.old not in taken_old and r.new not in taken_new:
-            taken_old.add(r.old)
-            taken_new.add(r.new)
-            rows.append((r.feed, r.file_no, r.old, r.new))
-    return pd.DataFrame(rows, columns=["feed", "file_no", "old", "new"])
+def _pair_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the candidates of each file, best first, those whose paths are both still free."""
+    file, old, new = None, set(), set()
+    for batch in batches:
+        rows = []
+        for feed, no, a, b, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (feed, no) != file:
+                file, old, new = (feed, no), set(), set()
+            if a not in old and b not in new:
+                old.add(a)
+                new.add(b)
+                rows.append((feed, no, a, b))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["feed", "file_no", "old", "new"])
 
 
 def canonical_names(ingested: DataFrame, report: DataFrame) -> DataFrame:
