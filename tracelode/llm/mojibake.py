@@ -3,12 +3,15 @@
 The channel turned a character into the bytes of one encoding and read these with the table of
 another one. For texts whose bytes were UTF-8, each run of characters outside ASCII becomes a lattice
 of bytes per table: an arc reads one character as it stands, or two to four characters as the bytes
-of one UTF-8 character, where a byte lost to U+FFFD is a wildcard that any byte may fill. Viterbi
-search finds the cheapest path under the character frequencies of the whole corpus; it is repeated on
-its own result, as texts are read wrongly more than once. Where one single-byte table was taken for
-another (nothing in the bytes tells then), the corpus's word frequencies decide, summed up over the
-words of a document. Words that lost characters to U+FFFD are filled from the most frequent corpus
-word of the same pattern.
+of one UTF-8 character, where a byte lost to U+FFFD, the first one too, is a wildcard that any byte may
+fill as long as one byte is left; U+FFFD may also be a whole character that was lost, and a C1 control
+the byte of another table. No true text has either, so as they stand they cost more than any character.
+Viterbi search finds the cheapest path under the character frequencies of the whole corpus; it is
+repeated on its own result until nothing is gained, as texts are read wrongly more than once. Where one
+single-byte table was taken for another (nothing in the bytes tells then), the corpus's word frequencies
+decide, summed up over the words of a document. Words that lost characters to U+FFFD are filled from the
+most frequent corpus word of the same pattern. Words are costed one by one, so that a path's best reading
+is each word's best reading and the frequencies can be joined instead of shipped.
 
 Corpus statistics cover all documents. Character counts are broadcast (there are at most as many as
 Unicode has characters); word counts are joined, never collected.
@@ -16,6 +19,7 @@ Unicode has characters); word counts are joined, never collected.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections.abc import Iterator
@@ -34,13 +38,16 @@ SINGLE = (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp
 LEAST_GAIN, VALID = 4.5, {2: 2.5, 3: 5.0, 4: 7.0}
 #: Sum of the words' log-odds above which a document counts as read with another single-byte table.
 LEAST_WORD_GAIN = 8.0
-_ROUNDS = 4
-LOST = "�"
-_REF = re.compile(r"&#(?:x([0-9a-fA-F]{2,6})|([0-9]{3,7}));")
+#: Cost of U+FFFD or a C1 control as true text, and of a character lost as a whole; what a lost byte adds, more for a first one.
+IMPOSSIBLE, ERASED, LOST_BYTE, LOST_LEAD = 14.0, 6.0, 2.0, 4.0
+LOST = "\ufffd"
+_REF = re.compile(r"&(?:#[xX]([0-9a-fA-F]{2,6})|#([0-9]{3,7})|([A-Za-z][A-Za-z0-9]{1,31}));")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+#: Runs in which some or all characters are written as references.
+_CHUNK = re.compile(f"(?:[^\\x00-\\x7f]|{_REF.pattern})+")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _QUOTES = "`\"'"
-_SUSPECT = r"[^\x00-\x7F]|&#(x[0-9a-fA-F]{2,6}|[0-9]{3,7});"
+_SUSPECT = r"[^\x00-\x7F]|&(#[xX][0-9a-fA-F]{2,6}|#[0-9]{3,7}|[A-Za-z][A-Za-z0-9]{1,31});"
 _WORD = r"[\p{L}\p{M}]*[\p{L}&&[^\x00-\x7F]][\p{L}\p{M}]*"
 
 
@@ -61,13 +68,15 @@ TABLES = {t: _bytes_of(t) for t in UTF8_AS}
 
 
 def _pattern(table: dict[str, int]) -> re.Pattern:
-    """Character sequences whose bytes in a table are one UTF-8 character, U+FFFD for any later byte."""
+    """Character sequences whose bytes in a table are one UTF-8 character, U+FFFD for any byte, but not for all."""
     cls = lambda lo, hi, more="": "[" + "".join(re.escape(c) for c, b in table.items() if lo <= b <= hi) + more + "]"
     tail = cls(0x80, 0xBF, LOST)
-    return re.compile(f"{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{tail}|{cls(0xF0, 0xF4)}{tail}{tail}{tail}")
+    return re.compile(f"{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{tail}|{cls(0xF0, 0xF4)}{tail}{tail}{tail}|{LOST}{{1,3}}{cls(0x80, 0xBF)}")
 
 
 PATTERNS = {t: _pattern(b) for t, b in TABLES.items()}
+#: What a C1 control is if its byte was meant in the usual Western table.
+C1_MEANT = {chr(b): c for c, b in TABLES["cp1252"].items() if 0x80 <= b < 0xA0 and ord(c) > 0x9F}
 
 
 def _pseudo(ch: str) -> float:
@@ -94,7 +103,8 @@ class Channel:
     def cost(self, ch: str) -> float:
         c = self.costs.get(ch)
         if c is None:
-            c = 0.0 if ord(ch) < 0x80 else self.total - math.log(self.counts.get(ch, 0) + _pseudo(ch))
+            o = ord(ch)
+            c = 0.0 if o < 0x80 else IMPOSSIBLE if ch == LOST or _C1.match(ch) else self.total - math.log(self.counts.get(ch, 0) + _pseudo(ch))
             self.costs[ch] = c
         return c
 
@@ -117,62 +127,82 @@ class Channel:
         except UnicodeDecodeError:
             return None
 
-    def viterbi(self, run: str, table: dict[str, int]) -> tuple[str, float, int]:
-        """Cheapest reading of a run, its gain over the run as it stands, and how many characters arcs consumed."""
+    def viterbi(self, run: str, table: dict[str, int]) -> tuple[str, float, int, int]:
+        """Cheapest reading of a run, its gain over the run as it stands, how many characters arcs of several consumed, and how many signs of loss it explains."""
         n = len(run)
         codes = [table.get(c) if c != LOST else None for c in run]
         known = [c == LOST or c in table for c in run]
         best = [0.0] + [math.inf] * n
         back: list[tuple[int, str]] = [(0, "")] * (n + 1)
+
+        def arc(i: int, size: int, ch: str, cost: float) -> None:
+            if best[i] + cost < best[i + size]:
+                best[i + size], back[i + size] = best[i] + cost, (i, ch)
+
         for i, ch in enumerate(run):
-            at = best[i]
-            stay = at + self.cost(ch)
-            if stay < best[i + 1]:
-                best[i + 1], back[i + 1] = stay, (i, ch)
+            arc(i, 1, ch, self.cost(ch))
+            if ch == LOST:
+                arc(i, 1, LOST, ERASED)
+            elif ch in C1_MEANT:
+                arc(i, 1, C1_MEANT[ch], self.cost(C1_MEANT[ch]) + LOST_BYTE)
             b = codes[i]
-            size = 0 if b is None else 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
-            if size and i + size <= n and all(known[i + 1 : i + size]) and all(c is None or 0x80 <= c <= 0xBF for c in codes[i + 1 : i + size]):
+            sizes = () if not known[i] else (2, 3, 4) if b is None else (2,) if 0xC2 <= b <= 0xDF else (3,) if 0xE0 <= b <= 0xEF else (4,) if 0xF0 <= b <= 0xF4 else ()
+            for size in sizes:
+                if i + size > n or not all(known[i + 1 : i + size]) or not all(c is None or 0x80 <= c <= 0xBF for c in codes[i + 1 : i + size]):
+                    continue
+                lost = codes[i + 1 : i + size].count(None)
+                if b is None and lost == size - 1:
+                    continue
                 ch = self._read(codes[i : i + size])
                 # a character that the corpus never has, of a script it hardly has, is an accident
                 if ch is not None and (self.counts.get(ch, 0) or _pseudo(ch) >= 0.3):
-                    lost = codes[i + 1 : i + size].count(None)
-                    go = at + self.cost(ch) - VALID[size] + 2.0 * lost
-                    if go < best[i + size]:
-                        best[i + size], back[i + size] = go, (i, ch)
-        out, used, i = [], 0, n
+                    arc(i, size, ch, self.cost(ch) - VALID[size] + LOST_BYTE * lost + (LOST_LEAD if b is None else 0.0))
+        out, used, signs, i = [], 0, 0, n
         while i:
             j, ch = back[i]
             out.append(ch)
             used += i - j if i - j > 1 else 0
+            signs += sum(c == LOST or c in C1_MEANT for c in run[j:i])
             i = j
-        return "".join(reversed(out)), sum(map(self.cost, run)) - best[n], used
+        return "".join(reversed(out)), sum(map(self.cost, run)) - best[n], used, signs
 
     def restore_run(self, run: str, least: float = LEAST_GAIN) -> tuple[str, float]:
-        """Best reading of a run over all tables, once or more, and its gain; the run itself if nothing gains ``least``."""
+        """Best reading of a run over all tables, once or more until nothing is gained, and its gain; the run itself if nothing gains ``least``.
+
+        Every reading has fewer characters than the one before, or fewer C1 controls, so it comes to an end.
+        """
         text, gain = run, 0.0
-        for _ in range(_ROUNDS):
+        while True:
             found = None
             for t in UTF8_AS:
                 if PATTERNS[t].search(text):
-                    got, g, used = self.viterbi(text, TABLES[t])
+                    got, g, used, signs = self.viterbi(text, TABLES[t])
                     # true text may stand beside garbled text in a run, but most of the run must be read anew, and a lone pair must be all of it
                     need = least if used > 3 or used == len(text) else least + 4
-                    if got != text and g >= need and 2 * used >= len(text) and (found is None or g > found[1]):
+                    if got != text and g >= need and (2 * used >= len(text) or used and signs) and (found is None or g > found[1]):
                         found = (got, g)
+            if found is None and (LOST in text or _C1.search(text)):
+                # no table explains it: characters lost as a whole, or bytes of the usual Western table
+                got, g, _, _ = self.viterbi(text, {})
+                if got == text:
+                    return text, gain + g
+                found = (got, g) if g >= least else None
             if found is None:
-                break
+                return text, gain
             text, gain = found[0], gain + found[1]
-        return text, gain
 
 
 def unreferenced(text: str) -> str:
-    """Numeric references to characters outside ASCII resolved."""
+    """References, by number or name, to characters outside ASCII resolved."""
 
     def put(m: re.Match) -> str:
+        if m[3]:
+            c = html.unescape(m[0])
+            return c if len(c) == 1 and ord(c) >= 0x80 else m[0]
         o = int(m[1], 16) if m[1] else int(m[2])
         return chr(o) if 0x80 <= o <= 0x10FFFF and not 0xD800 <= o <= 0xDFFF else m[0]
 
-    return _REF.sub(put, text) if "&#" in text else text
+    return _REF.sub(put, text) if "&" in text else text
 
 
 def _mentioned(text: str, a: int, b: int) -> bool:
@@ -190,34 +220,36 @@ def restore(text: str, channel: Channel) -> tuple[str, bool, int]:
     A text in which something was found is read once more with a lower bar, as its other runs are
     garbled more likely than those of a text chosen at random.
     """
-    plain = unreferenced(text)
-    found = False
-    for m in _RUN.finditer(plain):
-        run = m.group()
-        if (LOST in run or _C1.search(run) or channel.restore_run(run)[1] > 0) and not _mentioned(plain, m.start(), m.end()):
-            found = True
+    for m in _CHUNK.finditer(text):
+        if not _mentioned(text, m.start(), m.end()) and any(channel.restore_run(run)[1] > 0 for run in _RUN.findall(unreferenced(m[0]))):
             break
-    if not found:
+    else:
         return text, False, 0
-    out, at = [], 0
-    for m in _RUN.finditer(plain):
-        a, b = m.span()
-        out += [plain[at:a], m.group() if _mentioned(plain, a, b) else channel.restore_run(m.group(), 1.0)[0]]
-        at = b
-    new = "".join(out) + plain[at:]
-    if _C1.search(new):
-        lines = []
-        for line in new.split("\n"):
-            if _C1.search(line):
-                try:
-                    line = line.encode("latin-1").decode("cp932")
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    pass
-            lines.append(line)
-        new = "\n".join(lines)
+    new = "\n".join(_line(line, channel) for line in text.split("\n"))
     return new, True, new.count(LOST)
 
 
+def _line(line: str, channel: Channel) -> str:
+    """A line with its runs restored, references that are right as they stand kept; with C1 controls also read as bytes of the Japanese table, whichever costs less."""
+
+    def put(m: re.Match) -> str:
+        if _mentioned(line, m.start(), m.end()):
+            return m[0]
+        plain = unreferenced(m[0])
+        new = _RUN.sub(lambda r: channel.restore_run(r[0], 1.0)[0], plain)
+        return m[0] if new == plain else new
+
+    new, plain = _CHUNK.sub(put, line), unreferenced(line)
+    if _C1.search(plain):
+        try:
+            other = plain.encode("latin-1").decode("cp932")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return new
+        if sum(map(channel.cost, other)) < sum(map(channel.cost, unreferenced(new))):
+            return other
+    return new
+
+
 #: Runs outside ASCII without white space and quotes: a letter of one table may be a sign in another.
 _FOREIGN = re.compile("[^\\x00-\\x7f\\s\u00ab\u00bb\u201e\u201c\u201d\u2014\u2013\u2026]{2,}")
 
@@ -311,9 +343,18 @@ def repaired(docs: DataFrame) -> DataFrame:
     # words that lost characters, filled from the most frequent corpus word of the same pattern
     hole = r"[\p{L}\p{M}�]*�[\p{L}\p{M}�]*"
     holes = cases.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("restored", F.lit(hole), F.lit(0)))).alias("hole")).where(F.col("hole").rlike(r"\p{L}"))
-    masked = words.where(~F.col("word").contains(LOST)).select(F.regexp_replace("word", r"[^\x00-\x7F]", LOST).alias("mask"), "word", "n")
-    patterns = holes.select("hole").distinct().withColumn("mask", F.regexp_replace(F.lower("hole"), r"[^\x00-\x7F]", LOST))
-    fits = patterns.join(masked, "mask").where(F.expr(f"word like replace(lower(hole), '{LOST}', '_')"))
+    # joined on length and the longest known piece of up to three letters with its place: a word has at most
+    # three such keys a letter, and no key stands for a script as a whole
+    piece = lambda w, p, k: F.struct(F.length(w).alias("size"), p.alias("at"), F.substring(w, p, k).alias("letters"))
+    pieces = lambda k: F.transform(places, lambda p: piece(F.col("word"), p, F.lit(k)))
+    places = F.sequence(F.lit(1), F.length("word"))
+    sound = words.where(~F.col("word").contains(LOST) & (F.length("word") > 0))
+    keyed = sound.select("word", "n", F.explode(F.array_distinct(F.concat(*[pieces(k) for k in (1, 2, 3)]))).alias("key"))
+    low = F.lower("hole")
+    known = F.transform(F.sequence(F.lit(1), F.length(low)), lambda p: F.struct(F.length(F.regexp_extract(F.substring(low, p, F.lit(3)), f"^[^{LOST}]*", 0)).alias("k"), (-p).alias("minus")))
+    most = F.array_max(known)
+    patterns = holes.select("hole").distinct().withColumn("key", piece(low, -most["minus"], most["k"]))
+    fits = patterns.join(keyed, "key").where(F.expr(f"word like replace(lower(hole), '{LOST}', '_')"))
     best = fits.groupBy("hole").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
     fills = holes.join(best, "hole").groupBy("doc_id").agg(F.collect_list(F.struct("hole", "word")).alias("fills"))
 
