@@ -233,6 +233,9 @@ def test_split_keeps_groups_whole_and_shares(spark, make_events):
     risky = sum(r.n_risky for r in report.values())
     assert abs(report["test"].n_risky - 0.1 * risky) <= 0.05 * risky
     assert grouped_splits.grouped_splits(events.limit(0), lk).count() == 0
+    # in many small shards, which have to exchange to come to the same balance
+    many = grouped_splits.grouped_splits(events, lk, shard_components=20)
+    assert [(r.share_kept, r.labels_kept, r.groups_cut) for r in grouped_splits.split_balance(many, events, bound=0.01).collect()] == [(True, True, 0)] * 3
 
 
 # -- p7 -------------------------------------------------------------------------------------------

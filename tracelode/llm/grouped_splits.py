@@ -4,7 +4,9 @@
 distributed edge tables; nothing about single nodes, links or components reaches the driver, only
 three numbers per round that tell whether the edges still change. ``grouped_splits`` assigns whole
 components by a swap search: a hashed start, then annealing chains that move or exchange components,
-run in parallel over shards of components, of which each shard keeps its best.
+run in parallel over shards of components, of which each shard keeps its best. The search goes in rounds:
+each deals the components to other shards, tells every shard its part of what the whole assignment is off
+by, and so lets shards exchange; the best assignment of all rounds is kept.
 """
 
 from __future__ import annotations
@@ -91,11 +93,13 @@ def related_groups(events: DataFrame, links: DataFrame) -> DataFrame:
 # -- assignment -----------------------------------------------------------------------------------
 
 
-def _cost(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, want_labels: np.ndarray) -> float:
-    return float(np.abs(sizes - want).sum() + np.abs(labels - want_labels).sum())
+def _cost(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, want_labels: np.ndarray, over: bool = False) -> float:
+    """Deviation of sizes and labels; with ``over`` only what is too much, as the rest can still be filled."""
+    a, b = sizes - want, labels - want_labels
+    return float(np.maximum(a, 0).sum() + np.maximum(b, 0).sum()) if over else float(np.abs(a).sum() + np.abs(b).sum())
 
 
-def anneal(size: np.ndarray, label: np.ndarray, start: np.ndarray, want: np.ndarray, want_labels: np.ndarray, seed: int, chains: int, moves: int) -> np.ndarray:
+def anneal(size: np.ndarray, label: np.ndarray, start: np.ndarray, want: np.ndarray, want_labels: np.ndarray, seed: int, chains: int, moves: int, over: bool = False) -> np.ndarray:
     """Best assignment of several chains; every chain moves or exchanges whole components."""
     k, n = len(want), len(size)
     best, best_cost = start.copy(), None
@@ -104,7 +108,7 @@ def anneal(size: np.ndarray, label: np.ndarray, start: np.ndarray, want: np.ndar
         at = start.copy()
         s = np.bincount(at, weights=size, minlength=k)
         l = np.bincount(at, weights=label, minlength=k)  # noqa: E741
-        cost = _cost(s, l, want, want_labels)
+        cost = _cost(s, l, want, want_labels, over)
         if best_cost is None:
             best_cost = cost
         heat, cool = max(cost / 20, 1.0), 0.001 ** (1 / max(moves, 1))
@@ -122,7 +126,7 @@ def anneal(size: np.ndarray, label: np.ndarray, start: np.ndarray, want: np.ndar
             s[b] += ds
             l[a] -= dl
             l[b] += dl
-            after = _cost(s, l, want, want_labels)
+            after = _cost(s, l, want, want_labels, over)
             if after <= cost or luck[m] < np.exp((cost - after) / heat):
                 at[i], cost = b, after
                 if j >= 0:
@@ -137,11 +141,6 @@ def anneal(size: np.ndarray, label: np.ndarray, start: np.ndarray, want: np.ndar
     return best
 
 
-def _hashed(ids: pd.Series, shares: np.ndarray) -> np.ndarray:
-    u = pd.util.hash_pandas_object(ids, index=False).to_numpy() / 2.0**64
-    return np.minimum(np.searchsorted(np.cumsum(shares), u, side="right"), len(shares) - 1)
-
-
 def grouped_splits(
     events: DataFrame,
     links: DataFrame,
@@ -150,15 +149,15 @@ def grouped_splits(
     shard_components: int = 4000,
     heavy_share: float = 0.002,
     chains: int = 4,
-    moves: int = 12000,
+    moves: int = 10,
 ) -> DataFrame:
     """``episode_id, group_id, split``: every listed episode, whole components in one split.
 
     Components with at least ``heavy_share`` of all rows (so at most ``1 / heavy_share`` of them) are
-    placed first, in one search against the global targets; a component larger than a split's share can
-    only overfill it as little as possible. The others are hashed into shards of about
-    ``shard_components``; every shard anneals against its part of what the heavy ones left open. The
-    shards' remaining deviations are a few rows each and of either sign. An empty table gives no rows.
+    placed first, in one search against the global targets in which rows and labels above a split's share
+    count; a component larger than a split's share can only overfill it as little as possible. The others
+    are searched in shards of about ``shard_components`` with ``moves`` tries a component and chain, in
+    rounds until one improves the whole by less than a tenth. An empty table gives no rows.
     """
     at = written(episode_components(events, links), "listed")
     comps = at.groupBy("root").agg(
@@ -169,6 +168,7 @@ def grouped_splits(
     if not total[2]:
         return at.select("episode_id", F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("split"))
     share = np.array(shares) / sum(shares)
+    k = len(share)
     rows, risky = float(total[0]), float(total[1] or 0)
     weight = rows / risky if risky else 0.0  # a risky row counts so much that rows and labels matter alike
     is_heavy = F.col("n_rows") >= max(heavy_share * rows, 2)
@@ -183,30 +183,47 @@ def grouped_splits(
         for i, x in enumerate(size):  # largest first into the split with most room
             start[i] = int(np.argmax(room))
             room[start[i]] -= x
-        # against the targets the light ones can still reach: only overfull splits cost
-        over = anneal(size, label, start, np.maximum(want, np.bincount(start, weights=size, minlength=len(want))), want_labels, seed, chains, moves // 4)
-        chosen = over if np.maximum(np.bincount(over, weights=size, minlength=len(want)) - want, 0).sum() <= np.maximum(np.bincount(start, weights=size, minlength=len(want)) - want, 0).sum() else start
-        want = np.maximum(want - np.bincount(chosen, weights=size, minlength=len(want)), 0)
-        want_labels = np.maximum(want_labels - np.bincount(chosen, weights=label, minlength=len(want)), 0)
+        chosen = anneal(size, label, start, want, want_labels, seed, chains, 300 * moves, over=True)
+        want = want - np.bincount(chosen, weights=size, minlength=k)
+        want_labels = want_labels - np.bincount(chosen, weights=label, minlength=k)
         fixed = list(zip(heavy.root, chosen.tolist(), strict=True))
-    light_rows = rows - float(heavy.n_rows.sum())
-    light_risky = (risky - float(heavy.n_risky.sum())) * weight
-    part = want / max(want.sum(), 1e-9)
-    part_labels = want_labels / max(want_labels.sum(), 1e-9)
+    light = comps.where(~is_heavy).select("root", "n_rows", "n_risky")
+    part = np.maximum(want, 0) / max(np.maximum(want, 0).sum(), 1e-9)
     shards = max(1, int(np.ceil((total[2] - len(heavy)) / shard_components)))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("root", ignore_index=True)
-        size, label = pdf.n_rows.to_numpy(float), pdf.n_risky.to_numpy(float) * weight
-        got = anneal(size, label, _hashed(pdf.root, part), part * size.sum(), part_labels * label.sum(), seed + int(pdf.shard.iloc[0]), chains, moves)
-        return pd.DataFrame({"root": pdf.root, "k": got.astype("int32")})
-
-    light = comps.where(~is_heavy).select("root", "n_rows", "n_risky", F.pmod(F.xxhash64("root"), F.lit(shards)).cast("int").alias("shard"))
-    placed = light.groupBy("shard").applyInPandas(place, "root string, k int")
+    edges = np.cumsum(part)[:-1]
+    u = F.pmod(F.xxhash64("root", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    now = written(light.withColumn("k", sum((F.when(u >= float(e), 1).otherwise(0) for e in edges), F.lit(0)).cast("int")), "placed")
+
+    def measured(df: DataFrame) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """Cost of an assignment, what it is off by in rows and labels, and all its rows."""
+        s, lab = np.zeros(k), np.zeros(k)
+        for r in df.groupBy("k").agg(F.sum("n_rows").alias("s"), F.sum("n_risky").alias("l")).collect():
+            s[r["k"]], lab[r["k"]] = r["s"], r["l"] * weight
+        return _cost(s, lab, want, want_labels), s - want, lab - want_labels, s.sum()
+
+    best, (cost, off, off_labels, light_rows) = now, measured(now)
+    turn = 0
+    while light_rows:
+        def search(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("root", ignore_index=True)
+            size, label, start = pdf.n_rows.to_numpy(float), pdf.n_risky.to_numpy(float) * weight, pdf.k.to_numpy(int)
+            mine = size.sum() / light_rows
+            have, have_labels = np.bincount(start, weights=size, minlength=k), np.bincount(start, weights=label, minlength=k)
+            got = anneal(size, label, start, have - off * mine, have_labels - off_labels * mine, seed + 1000 * turn + int(pdf.shard.iloc[0]), chains, moves * len(pdf))
+            return pd.DataFrame({"root": pdf.root, "n_rows": pdf.n_rows, "n_risky": pdf.n_risky, "k": got.astype("int32")})
+
+        dealt = best.withColumn("shard", F.pmod(F.xxhash64("root", F.lit(seed + turn)), F.lit(shards)).cast("int"))
+        now = written(dealt.groupBy("shard").applyInPandas(search, "root string, n_rows bigint, n_risky bigint, k int"), "placed")
+        before, after = cost, measured(now)
+        if after[0] < cost:
+            best, (cost, off, off_labels, light_rows) = now, after
+        turn += 1
+        if cost > 0.9 * before:
+            break
+    placed = best.select("root", "k")
     if fixed:
         placed = placed.unionByName(at.sparkSession.createDataFrame(fixed, "root string, k int"))
-    assert light_rows >= 0 and light_risky >= -1e-6
-    names = F.array(*[F.lit(s) for s in SPLITS[: len(share)]])
+    names = F.array(*[F.lit(s) for s in SPLITS[:k]])
     named = comps.join(placed, "root").select("root", "group_id", names[F.col("k")].alias("split"))
     return at.join(named, "root").select("episode_id", "group_id", "split")
 
@@ -219,3 +236,17 @@ def split_report(splits: DataFrame, events: DataFrame) -> DataFrame:
     )
     total = per.agg(F.sum("n_rows").alias("_all"))
     return per.crossJoin(F.broadcast(total)).select(*per.columns, F.round(F.col("n_rows") / F.col("_all"), 6).alias("row_share"))
+
+
+def split_balance(splits: DataFrame, events: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1), bound: float = 0.005) -> DataFrame:
+    """``split, share_kept, labels_kept, groups_cut``: whether the shares of rows and of risky rows are within ``bound`` (of all, four times that for labels), and how many groups are in several splits."""
+    report = split_report(splits, events)
+    want = splits.sparkSession.createDataFrame(list(zip(SPLITS, shares, strict=False)), "split string, want double")
+    cut = splits.groupBy("group_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups_cut"))
+    risky = report.agg(F.sum("n_risky").alias("all_risky"))
+    joined = want.join(report, "split", "left").crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(risky))  # two tables of one row
+    label_share = F.col("n_risky") / F.col("all_risky")
+    return joined.select(
+        "split", F.coalesce(F.abs(F.col("row_share") - F.col("want")) <= bound, F.lit(False)).alias("share_kept"),
+        F.coalesce(F.abs(label_share - F.col("want")) <= 4 * bound, F.col("all_risky") == 0).alias("labels_kept"), "groups_cut",
+    )

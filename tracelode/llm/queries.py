@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.llm import consensus, conversations, encoding, grouped_splits, leakage, mojibake, survivorship
 from tracelode.plans import training_core
-from tracelode.session import table
+from tracelode.session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,12 @@ def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.grouped_splits(table(spark, sf_dir, "trace_events"), table(spark, sf_dir, "episode_links"))
 
 
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the split keeps its shares and its groups whole."""
+    splits = written(p5_split(spark, sf_dir), "split")
+    return grouped_splits.split_balance(splits, table(spark, sf_dir, "trace_events"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_column(table(spark, sf_dir, "documents"))
 
@@ -73,7 +79,7 @@ def queries() -> dict:
         "p1_found": p1_found, "p1_conversations": p1_conversations,
         "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_annotators": p3_annotators,
         "p4_found": p4_found, "p4_records": p4_records,
-        "p5_found": p5_found, "p5_split": p5_split,
+        "p5_found": p5_found, "p5_split": p5_split, "p5_balance": p5_balance,
         "p7_ids": p7_ids,
         "p8_found": p8_found, "p8_items": p8_items,
         "p9_found": p9_found, "p9_texts": p9_texts,
@@ -157,5 +163,9 @@ select episode_id, group_id from m join g using (root)
 """
 
 
+#: What every split has to come to.
+P5_BALANCE = "select unnest(['train', 'validation', 'test']) as split, true as share_kept, true as labels_kept, cast(0 as bigint) as groups_cut"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p1_conversations": P1_TURNS, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5}
+    return {"p1_found": P1, "p1_conversations": P1_TURNS, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p5_balance": P5_BALANCE}
