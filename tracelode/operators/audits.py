@@ -37,7 +37,7 @@ def notes_leakage(events: DataFrame, terms: Sequence[str] = OUTCOME) -> DataFram
     )
 
 
-def stream_audit(events: DataFrame, large: int = 60) -> DataFrame:
+def stream_audit(events: DataFrame, large: int = 32_000) -> DataFrame:
     """``dimension, value, n_events, n_episodes, n_large`` by hook, batch and in total: one scan, one Expand."""
     size = F.octet_length(F.coalesce("observation", F.lit("")))
     d = events.select("hook_type", "source_batch", "episode_id", (size > large).cast("int").alias("big"))

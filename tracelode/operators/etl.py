@@ -11,7 +11,8 @@ KEY = ("episode_id", "step_id", "hook_type")
 
 
 def is_recovery(batch: Column) -> Column:
-    return F.coalesce(batch.contains("recovery"), F.lit(False))
+    """Whether a batch's name says recovery, in any case; null does not."""
+    return F.coalesce(F.lower(batch).contains("recovery"), F.lit(False))
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -29,9 +30,27 @@ def union_batches(*batches: DataFrame) -> DataFrame:
     return out
 
 
-def exact_duplicates_dropped(df: DataFrame, columns: Sequence[str], seq: str = "seq") -> DataFrame:
-    """First row of every set of rows that agree in ``columns``: a partial minimum, no window."""
-    return df.groupBy(*columns).agg(F.min(seq).alias(seq))
+def exact_duplicates_dropped(df: DataFrame, keep: Sequence[str], ignored: Sequence[str] = (), seq: str = "seq") -> DataFrame:
+    """``keep`` and ``seq`` of the first row of every set of rows that agree in all columns but ``seq`` and ``ignored``.
+
+    A partial minimum, no window; the columns beyond ``keep`` go through the shuffle as 128 bits of hash, so
+    that texts are never keys.
+    """
+    rest = [c for c in df.columns if c not in (*keep, *ignored, seq)]
+    return df.groupBy(*keep, F.xxhash64(*rest).alias("_h"), F.xxhash64(F.lit("second"), *rest).alias("_i")).agg(F.min(seq).alias(seq)).drop("_h", "_i")
+
+
+def recovery_override(primary: DataFrame, recovery: DataFrame, key: Sequence[str], order: str, status: str = "status") -> DataFrame:
+    """Results of ``primary``, the stopped ones replaced where ``recovery`` has their key; adds ``overridden``.
+
+    Of several rows with one key the last by ``order`` counts on both sides; keys that only ``recovery`` has are dropped.
+    """
+    body = [c for c in primary.columns if c not in key]
+    last = lambda d: d.groupBy(*key).agg(F.max(F.struct(order, *[c for c in body if c != order])).alias("x"))
+    both = last(primary).join(last(recovery).withColumnRenamed("x", "y"), list(key), "left")
+    swap = F.coalesce(F.col("x")[status] == "stopped", F.lit(False)) & F.col("y").isNotNull()
+    chosen = F.when(swap, F.col("y")).otherwise(F.col("x"))
+    return both.select(*key, *[chosen[c].alias(c) for c in body], swap.alias("overridden"))
 
 
 def recovery_preferred(df: DataFrame, key: Sequence[str] = KEY, seq: str = "seq", always: bool = False) -> DataFrame:
@@ -52,7 +71,7 @@ def recovery_preferred(df: DataFrame, key: Sequence[str] = KEY, seq: str = "seq"
 
 def keep_last(df: DataFrame, key: Sequence[str], value: Sequence[str], seq: str = "seq") -> DataFrame:
     """Last row of each key by ``seq`` (a lookup table)."""
-    return df.groupBy(*key).agg(F.max(F.struct(seq, *value)).alias("x")).select(*key, *[F.col("x")[v].alias(v) for v in value])
+    return df.groupBy(*key).agg(F.max(F.struct(seq, *[v for v in value if v != seq])).alias("x")).select(*key, *[F.col("x")[v].alias(v) for v in value])
 
 
 def attach(base: DataFrame, lookup: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -63,7 +82,7 @@ def attach(base: DataFrame, lookup: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def allocation(n: int, shares: Sequence[float] = (0.6, 0.2, 0.2)) -> list[int]:
-    """Largest-remainder counts of ``n`` episodes; no split with a positive share stays empty while another has more than one."""
+    """Largest-remainder counts of ``n`` episodes; from three on no split with a positive share stays empty while another has more than one."""
     total = sum(shares)
     share = [s / total for s in shares]
     counts = [int(n * s) for s in share]
@@ -71,7 +90,7 @@ def allocation(n: int, shares: Sequence[float] = (0.6, 0.2, 0.2)) -> list[int]:
     for i in sorted(range(len(share)), key=lambda i: (-(n * share[i] - counts[i]), -share[i], i))[:rest]:
         counts[i] += 1
     for i, s in enumerate(share):
-        if s > 0 and counts[i] == 0:
+        if n >= 3 and s > 0 and counts[i] == 0:
             big = max(range(len(counts)), key=lambda j: counts[j])
             if counts[big] > 1:
                 counts[big] -= 1
@@ -97,10 +116,12 @@ def episode_split(df: DataFrame, seed: str = "20260601", shares: Sequence[float]
 
 
 def reuse_split(prior: dict[str, list[str]], episodes: Sequence[str], shares: dict[str, float]) -> dict[str, list[str]]:
-    """Keep earlier assignments; give each new episode to the split most short of its share. Sequential by nature: new ids only, on the driver."""
-    present = set(episodes)
-    out = {s: [e for e in es if e in present] for s, es in prior.items()}
-    known = {e for es in out.values() for e in es}
+    """Keep earlier assignments, the first one of an episode that has several; give each new episode to the split most short of its share. Sequential by nature: new ids only, on the driver."""
+    present, known = set(episodes), set()
+    out: dict[str, list[str]] = {}
+    for s, es in prior.items():
+        out[s] = [e for e in dict.fromkeys(es) if e in present and e not in known]
+        known.update(out[s])
     total = len(present)
     for e in (x for x in episodes if x not in known):
         s = min(out, key=lambda s: (len(out[s]) / total - shares[s], len(out[s])))

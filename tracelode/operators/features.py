@@ -46,7 +46,7 @@ def _texts(events: DataFrame) -> DataFrame:
         {
             "_user": _low("user_instruction"), "_plan": _low("plan_summary"), "_tool": _low("proposed_tool"), "_args": F.lower(args), "_obs": _low("observation"),
             "_delta": F.lower(F.coalesce("state_delta", F.lit("{}"))), "_self": F.lower(F.coalesce("self_check", F.lit("{}"))), "_notes": _low("notes"),
-            "_has_args": ~F.trim(args).isin("", "{}"),
+            "_has_args": ~args.rlike(r"^\s*(\{\s*\})?\s*$"),
         }
     )
 

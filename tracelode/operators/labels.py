@@ -12,7 +12,7 @@ CATEGORIES = ("none", "privacy", "financial", "security", "irreversible_state_ch
 def binary(c: Column) -> Column:
     """0 or 1 as written in any of the usual ways, else null."""
     b = F.lower(F.trim(c))
-    return F.when(b.isin("1", "true", "risky", "risk"), 1).when(b.isin("0", "false", "safe"), 0)
+    return F.when(b.isin("1", "true", "risky", "risk"), 1).when(b.isin("0", "false", "safe", "none"), 0)
 
 
 def label_errors() -> Column:

@@ -97,15 +97,19 @@ def first_risk(rows: DataFrame) -> DataFrame:
     )
 
 
-def warnings(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """``episode_id, threshold, warn_step, warn_hook``: first row (by step and hook) with at least that score, one aggregation for all thresholds."""
-    firsts = [F.min(F.when(F.col("score") >= t, F.struct("step_id", _ord().alias("o"), "hook_type"))).alias(f"t{i}") for i, t in enumerate(thresholds)]
+def warnings(rows: DataFrame, thresholds: Sequence[float] | dict[str, Column]) -> DataFrame:
+    """``episode_id, threshold, warn_step, warn_hook``: first row (by step and hook) with at least that score, one aggregation for all thresholds.
+
+    Thresholds may also be named conditions on a row.
+    """
+    conditions = list(thresholds.items()) if isinstance(thresholds, dict) else [(float(t), F.col("score") >= t) for t in thresholds]
+    firsts = [F.min(F.when(c, F.struct("step_id", _ord().alias("o"), "hook_type"))).alias(f"t{i}") for i, (_, c) in enumerate(conditions)]
     wide = rows.groupBy("episode_id").agg(*firsts)
-    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("w")) for i, t in enumerate(thresholds)])
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("w")) for i, (t, _) in enumerate(conditions)])
     return wide.select("episode_id", F.explode(each).alias("x")).select("episode_id", "x.threshold", F.col("x.w.step_id").alias("warn_step"), F.col("x.w.hook_type").alias("warn_hook"))
 
 
-def outcomes(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+def outcomes(rows: DataFrame, thresholds: Sequence[float] | dict[str, Column]) -> DataFrame:
     """One row per episode and threshold with the containment flags of its first warning."""
     risk = first_risk(rows)
     window = rows.join(risk, "episode_id").groupBy("episode_id").agg(F.max(F.coalesce(F.col("step_id") < F.col("first_risk"), F.lit(False))).alias("has_window"))
@@ -149,6 +153,8 @@ def sweep(rows: DataFrame, verify: Sequence[float] = VERIFY, alert: Sequence[flo
     """One row per ordered threshold triple. Containment and the rate of ``verify`` or higher depend on the first threshold only
     and the alert rate on the second, so each is aggregated once and the grid joins tables of a few rows."""
     spark = rows.sparkSession
+    if not any(v <= a <= b for v in verify for a in alert for b in block):
+        raise ValueError("no thresholds in ascending order")
     grid = spark.createDataFrame([(float(v), float(a), float(b)) for v in verify for a in alert for b in block if v <= a <= b], "verify double, alert double, block double")
     contained = containment(rows, verify).select(F.col("threshold").alias("verify"), "risky_episodes", "positive_lead", "no_window_jit", "missed", "false_alerts", "operational_rate", "mean_lead")
     warned = outcomes(rows, verify).groupBy(F.col("threshold").alias("verify")).agg(F.try_divide(F.count_if("false_alert"), F.count_if(~F.col("risky"))).alias("false_alert_rate"))
@@ -159,10 +165,10 @@ def sweep(rows: DataFrame, verify: Sequence[float] = VERIFY, alert: Sequence[flo
 
 
 def recommended(grid: DataFrame, cap: float = 0.25) -> DataFrame:
-    """The best triple: within the cap on false alerts if any is, then most contained, longest lead, fewest alerts, lowest thresholds."""
-    ok = F.coalesce(F.col("false_alert_rate") <= cap, F.lit(False))
+    """The best triple: within the cap on false alerts if any is (no rate counts as 0), then most contained, longest lead, fewest alerts, fewest of ``verify`` or higher; of equals the first of the grid."""
+    ok = F.coalesce(F.col("false_alert_rate"), F.lit(0.0)) <= cap
     d = grid.withColumn("_ok", ok.cast("int"))
-    return d.orderBy(F.desc("_ok"), F.desc_nulls_last("operational_rate"), F.desc_nulls_last("mean_lead"), F.asc_nulls_last("alert_rate"), "verify", "alert", "block").limit(1).drop("_ok")
+    return d.orderBy(F.desc("_ok"), F.desc_nulls_last("operational_rate"), F.desc_nulls_last("mean_lead"), F.asc_nulls_last("alert_rate"), F.asc_nulls_last("verify_or_higher_rate"), "verify", "alert", "block").limit(1).drop("_ok")
 
 
 def diagnostics(rows: DataFrame, threshold: float = 35.0) -> DataFrame:

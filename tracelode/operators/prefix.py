@@ -174,12 +174,21 @@ def floored() -> Column:
     return F.when(F.col("oracle_violation") == 1, F.greatest(F.col("_raw"), F.lit(VIOLATION_FLOOR))).otherwise(F.col("_raw"))
 
 
-def risk_scores(events: DataFrame) -> DataFrame:
-    """``seq, episode_id, step_id, hook_type, oracle_violation, risk_score, policy`` of valid events: the score part of the prefix dataset."""
-    rows = violations(rule_rows(events, full=False)).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
+def risk_scores(events: DataFrame, targets: bool = False) -> DataFrame:
+    """``seq, episode_id, step_id, hook_type, oracle_violation, risk_score, policy`` of valid events: the score part of the prefix dataset.
+
+    With ``targets`` also its ``future_risk_label``, ``t_risk`` and ``lead_time_if_alert_now``.
+    """
+    ruled = rule_rows(events, full=False)
+    rows = violations(ruled).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
     rows = written(rows.withColumn("_w", decay_weight(floored(), F.col("_k"))).select("seq", "episode_id", "step_id", "hook_type", "_ord", "_k", "_w", "oracle_violation"), "weights")
     rows = running(rows, maxima={"_mw": "_w"}).withColumn("risk_score", decayed(F.col("_mw"), F.col("_k")))
-    return rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.col("risk_score")))
+    out = rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.col("risk_score")))
+    if not targets:
+        return out
+    label = F.coalesce((F.col("last_risk") >= F.col("step_id")).cast("int"), F.lit(0))
+    out = out.join(episode_risk(ruled), "episode_id", "left").withColumn("future_risk_label", label)
+    return out.withColumnRenamed("first_risk", "t_risk").withColumn("lead_time_if_alert_now", F.col("t_risk") - F.col("step_id")).drop("last_risk")
 
 
 def prefix_dataset(events: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from tracelode.functions import terms as T
 from tracelode.operators import features as P
 
 HOOK = "case regexp_replace(lower(hook_type), '[\\s_\\-]+', '', 'g') when 'prestep' then 'pre_step' when 'poststep' then 'post_step' when 'checkpoint' then 'checkpoint' when 'final' then 'final' end"
+OBJECT = "({0} is null or (json_valid({0}) and json_type({0}) = 'OBJECT'))"
 EV = f"""ev as (
   select ingest_id as seq, episode_id, step_id, {HOOK} as hook_type, user_instruction, plan_summary, proposed_tool, tool_args, observation, state_delta, self_check, t_risk, risk_event, risk_type, severity, notes, source_batch
   from trace_events where regexp_matches(episode_id, '\\S') and step_id is not null and {HOOK} is not null
-    and (tool_args is null or json_valid(tool_args)) and (state_delta is null or json_valid(state_delta)) and (self_check is null or json_valid(self_check)))"""
+    and {OBJECT.format('tool_args')} and {OBJECT.format('state_delta')} and {OBJECT.format('self_check')})"""
 ORD = "case hook_type when 'pre_step' then 0 when 'post_step' then 1 when 'checkpoint' then 2 else 3 end"
 
 
@@ -42,7 +43,7 @@ def _self(x: str) -> str:
 
 
 TEXTS = f"""tx as (select *, {ORD} as ord, lower(coalesce(user_instruction, '')) as u, lower(coalesce(plan_summary, '')) as p, lower(coalesce(proposed_tool, '')) as t, lower(coalesce(tool_args, '{{}}')) as a,
-    lower(coalesce(observation, '')) as o, lower(coalesce(state_delta, '{{}}')) as d, lower(coalesce(self_check, '{{}}')) as s, lower(coalesce(notes, '')) as n, trim(coalesce(tool_args, '{{}}')) not in ('', '{{}}') as has_args from ev),
+    lower(coalesce(observation, '')) as o, lower(coalesce(state_delta, '{{}}')) as d, lower(coalesce(self_check, '{{}}')) as s, lower(coalesce(notes, '')) as n, not regexp_full_match(coalesce(tool_args, '{{}}'), '\\s*(\\{{\\s*\\}})?\\s*') as has_args from ev),
 ty as (select *, t || ' ' || a as ta, u || chr(10) || p || chr(10) || t || chr(10) || a || chr(10) || o || chr(10) || d || chr(10) || s as blob, t || ' ' || a || ' ' || n as tt, case when hook_type in ('pre_step', 'post_step') then n else '' end as sn from tx)"""
 _STATED = """case when regexp_matches(coalesce(self_check, '{}'), '"risk"\\s*:\\s*"') then case lower(trim(json_extract_string(self_check, '$.risk'))) when 'medium' then 0.5 when 'high' then 1.0 else 0.0 end
    else coalesce(try_cast(json_extract_string(self_check, '$.risk') as double), case when json_extract_string(self_check, '$.risk') = 'true' then 1.0 else 0.0 end) end::double"""

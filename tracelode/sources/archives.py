@@ -59,12 +59,18 @@ def trajectories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _step(*options: object, default: int) -> int:
-    for v in options:
-        if v and not isinstance(v, (dict, list)):  # zero and empty count as missing here
-            digits = re.sub(r"\D", "", str(v))
-            if digits:
-                return int(digits)
-    return default
+    """The first option that counts as present, as a whole number; ``default`` if it is none. Zero and empty count as missing."""
+    v = next((v for v in options if v), None)
+    try:
+        return int(v)
+    except (TypeError, ValueError, OverflowError):
+        return default
+
+
+def _sequence(v: object, default: int) -> int:
+    """All digits of a sequence label as one number."""
+    digits = "".join(c for c in str(v or "") if c.isdigit())
+    return int(digits) if digits else default
 
 
 def _say(v: object) -> str | None:
@@ -79,8 +85,15 @@ def convert(record: dict, source: str, family: str, collection: str = "trajector
     ask = record.get("query") or ""
     out: list[dict] = []
 
-    def put(step: int, hook: str, **more: object) -> None:
-        out.append({"episode_id": episode, "step_id": step, "hook_type": hook, "user_instruction": ask, "plan_summary": None, "proposed_tool": None, "tool_args": "{}", "observation": None} | more)
+    base_notes = {"source": family, "category": record.get("category") or record.get("risk_category"), "original_id": task}
+
+    def put(step: int, hook: str, kind: str, seen_in: dict, *names: str, **more: object) -> None:
+        notes = base_notes | {"event_kind": kind} | {n: seen_in.get(n) for n in names}
+        out.append(
+            {"episode_id": episode, "step_id": step, "hook_type": hook, "user_instruction": ask, "plan_summary": None, "proposed_tool": None, "tool_args": "{}", "observation": None}
+            | more
+            | {"notes": json.dumps(notes, ensure_ascii=False, sort_keys=True)}
+        )
 
     logs = record.get("detail_logs")
     if isinstance(logs, list):
@@ -88,11 +101,11 @@ def convert(record: dict, source: str, family: str, collection: str = "trajector
         for k, log in enumerate(logs, 1):
             kind = str(log.get("type") or "") if isinstance(log, dict) else ""
             if kind in ("pre_tool", "post_tool"):
-                base = _step(log.get("sequence"), default=k)
+                base = _sequence(log.get("sequence"), k)
                 seen[base, kind] += 1
                 args = log.get("tool_input") if isinstance(log.get("tool_input"), dict) else {}
                 pre = kind == "pre_tool"
-                put(base * STEP_SCALE + (PRE_OFFSET if pre else POST_OFFSET) + seen[base, kind], "pre_step" if pre else "post_step", proposed_tool=_say(log.get("tool_name")), tool_args=json.dumps(args, sort_keys=True), observation=None if pre else _say(log.get("tool_response")))
+                put(base * STEP_SCALE + (PRE_OFFSET if pre else POST_OFFSET) + seen[base, kind], "pre_step" if pre else "post_step", kind, log, "tool_use_id", "session_id", "cwd", "permission_mode", "timestamp", proposed_tool=_say(log.get("tool_name")), tool_args=json.dumps(args, sort_keys=True), observation=None if pre else _say(log.get("tool_response")))
     elif isinstance(logs, dict):
         seen = Counter()
         calls = logs.get("tool_calls") or []
@@ -102,19 +115,19 @@ def convert(record: dict, source: str, family: str, collection: str = "trajector
                 base = _step(call.get("turn_idx"), call.get("step"), call.get("step_id"), default=k)
                 seen[base] += 1
                 args = first("tool_input", "arguments", "args", "input")
-                put(base * STEP_SCALE + PRE_OFFSET + seen[base], "pre_step", proposed_tool=_say(first("tool_name", "name", "tool")), tool_args=json.dumps(args if isinstance(args, dict) else {}, sort_keys=True), observation=_say(first("tool_response", "response", "result", "output")))
+                put(base * STEP_SCALE + PRE_OFFSET + seen[base], "pre_step", "iflow_tool_call", call, "timestamp", proposed_tool=_say(first("tool_name", "name", "tool")), tool_args=json.dumps(args if isinstance(args, dict) else {}, sort_keys=True), observation=_say(first("tool_response", "response", "result", "output")))
     turns = record.get("turns") or []
     for k, turn in enumerate(turns if isinstance(turns, list) else [], 1):
         if isinstance(turn, dict):
-            put(_step(turn.get("turn_idx"), turn.get("step_id"), turn.get("step"), default=k) * STEP_SCALE, "checkpoint", plan_summary=_say(turn.get("input")), observation=_say(turn.get("output")))
-    put(max((e["step_id"] for e in out), default=0) + STEP_SCALE, "final")
+            put(_step(turn.get("turn_idx"), turn.get("step_id"), turn.get("step"), default=k) * STEP_SCALE, "checkpoint", "turn", turn, "turn_idx", "start_time", "end_time", plan_summary=_say(turn.get("input")), observation=_say(turn.get("output")))
+    put(max((e["step_id"] for e in out), default=0) + STEP_SCALE, "final", "final", {})
     order = {"pre_step": 0, "checkpoint": 1, "post_step": 2, "final": 3}
     return sorted(out, key=lambda e: (e["step_id"], order[e["hook_type"]]))
 
 
 def trajectory_events(rows: DataFrame, collection: str = "trajectories") -> DataFrame:
     """Trace events of ``trajectories``; lines that are no JSON object give none."""
-    fields = ("episode_id", "step_id", "hook_type", "user_instruction", "plan_summary", "proposed_tool", "tool_args", "observation")
+    fields = ("episode_id", "step_id", "hook_type", "user_instruction", "plan_summary", "proposed_tool", "tool_args", "observation", "notes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

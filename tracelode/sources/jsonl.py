@@ -12,11 +12,19 @@ _RAW = "episode_id string, step_id string, hook_type string, timestamp string, u
 
 
 def scan_traces(spark: SparkSession, path: str) -> DataFrame:
-    """All events of the files with ``reject_reason`` (null: valid), ``file`` and ``seq``, their order in it; blank lines are skipped.
+    """All events of the files with ``reject_reason`` (null: valid), ``file``, ``line_no`` in it and ``seq``; blank lines are skipped.
 
-    Objects stay JSON text; numbers may be quoted. ``seq`` grows with the position in a file without a global sort.
+    Objects stay JSON text; numbers may be quoted. ``seq`` counts the lines of all files in the order of
+    their names: lines are numbered inside each block of a file that is read at once, and the blocks' sizes,
+    one row a block, carry the numbers on, so that no task sorts more than a block.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), F.trim("value").alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
+    blocks = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select("file", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("all"), F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("own"))
+    k = F.row_number().over(Window.partitionBy("file", "at").orderBy("id"))
+    lines = lines.withColumn("k", k).join(carry, ["file", "at"]).select("file", (F.col("own") + F.col("k")).alias("line_no"), (F.col("all") + F.col("k")).alias("seq"), "line")
     lines = lines.where(F.col("line") != "")
     rows = lines.withColumn("e", F.from_json("line", _RAW)).withColumn("v", F.try_parse_json("line"))
     object_ = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit("{}"))
@@ -40,23 +48,18 @@ def scan_traces(spark: SparkSession, path: str) -> DataFrame:
         else:
             c = c.try_cast(f.dataType)
         typed.append(c.alias(f.name))
-    return rows.select(*typed, reason.alias("reject_reason"), "file", "seq", "line")
+    return rows.select(*typed, reason.alias("reject_reason"), "file", "line_no", "seq", "line")
 
 
 def strict_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Valid events; the first bad line of the lowest file raises."""
+    """Valid events; the first bad line of the lowest file raises, with its number."""
     rows = scan_traces(spark, path)
-    bad = rows.where(F.col("reject_reason").isNotNull()).orderBy("file", "seq").limit(1).collect()
+    bad = rows.where(F.col("reject_reason").isNotNull()).orderBy("seq").limit(1).collect()
     if bad:
-        raise ValueError(f"invalid trace line in {bad[0]['file']}: {bad[0]['reject_reason']}")
+        raise ValueError(f"invalid trace line {bad[0]['line_no']} in {bad[0]['file']}: {bad[0]['reject_reason']}")
     return rows.drop("reject_reason", "line")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Adds the line number in each file, for reports on files of moderate size."""
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("seq")))
-
-
 def write_traces(events: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON object per line; JSON texts become objects again."""
     cols = [F.try_parse_json(c).alias(c) if c in ("tool_args", "state_delta", "self_check") else F.col(c) for c in events.columns if c in {f.name for f in TRACE_EVENT.fields}]

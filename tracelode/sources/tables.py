@@ -13,7 +13,8 @@ FIELDS = ("timestamp", "user_instruction", "plan_summary", "proposed_tool", "too
 
 def checked(events: DataFrame) -> DataFrame:
     """Adds ``reject_reason``: the first check a row fails, null for a valid event."""
-    bad_json = lambda c: F.col(c).isNotNull() & F.try_parse_json(c).isNull()
+    # an object: what parses and begins as one
+    bad_json = lambda c: F.col(c).isNotNull() & (F.try_parse_json(c).isNull() | ~F.col(c).rlike(r"^\s*\{"))
     reason = (
         F.when(is_blank(F.col("episode_id")), "episode_id")
         .when(F.col("step_id").isNull(), "step_id")
