@@ -1,6 +1,7 @@
 """Row features, path rules, segmented scans against loops, and the online form."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,25 +48,34 @@ def test_rules_and_targets(toy):
     assert len(prefix.PREFIX_COLUMNS) == 68
 
 
-def test_segmented_scans_equal_loops_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "BLOCK", 3)
-    rows = [("e%d" % (k % 2), k // 3, k % 4, k, (k * 7) % 5, float((k * 13) % 90) if k % 6 else 0.0) for k in range(60)]
-    df = spark.createDataFrame(rows, "episode_id string, step_id long, _ord int, seq long, v int, x double")
-    out = prefix.running(df, sums={"s": "v"}, maxima={"m": "x"}, earlier={"b": "v"})
-    got = {r.seq: r for r in prefix.decayed_max(out, "x", "d").collect()}
-    for ep in ("e0", "e1"):
-        s, m, b, d = 0, 0.0, 0, 0.0
-        for r in sorted((r for r in rows if r[0] == ep), key=lambda r: r[1:4]):
-            s, m, d = s + r[4], max(m, r[5]), max(0.85 * d, r[5])
-            g = got[r[3]]
-            assert (g.s, g.m, g.b) == (s, m, b) and math.isclose(g.d, d, abs_tol=1e-9)
-            b = max(b, r[4])
-
-
-def test_long_decay_does_not_overflow(spark):
-    df = spark.range(9000).select(F.lit("e").alias("episode_id"), F.col("id").alias("step_id"), F.lit(0).alias("_ord"), F.col("id").alias("seq"), F.when(F.col("id") == 8990, 50.0).otherwise(0.0).alias("x"))
-    got = {r.seq: r.d for r in prefix.decayed_max(df, "x", "d").where("seq >= 8988").collect()}
-    assert got[8989] == 0.0 and math.isclose(got[8990], 50.0) and math.isclose(got[8993], 50 * 0.85**3)
+@pytest.mark.parametrize("block", [1, 3])
+def test_blocks_change_nothing(make_events, monkeypatch, block):
+    """Every running column equals that of one block for all; only sums of doubles differ in their last digits."""
+    rng = random.Random(7)
+    texts = [None, "Error: not found", "User: I confirm", "fine", "secret token", "fallback: rest api"]
+    rows = [
+        ev(f"e{k % 3}", rng.randint(0, 14), rng.choice(["pre_step", "post_step", "checkpoint", "final"]), observation=rng.choice(texts), plan_summary=rng.choice([None, "read", "send email", "delete"]),
+           proposed_tool=rng.choice([None, "send_email", "search", "delete_file", "retry"]), tool_args=rng.choice([None, "{}", '{"a": 1}']), self_check=rng.choice([None, '{"risk": "low"}']), risk_event=rng.random() < 0.05,
+           severity=rng.choice([None, 0.2, 0.9]), t_risk=rng.choice([None] * 9 + [6]))
+        for k in range(150)
+    ]
+    events = valid_events(make_events(*rows))
+    whole = {r.seq: r.asDict() for r in prefix.prefix_dataset(events).collect()}
+    few = {r.seq: (r.risk_score, r.oracle_violation) for r in prefix.risk_scores(events).collect()}
+    assert {s: (r["risk_score"], r["oracle_violation"]) for s, r in whole.items()} == few
+    monkeypatch.setattr(prefix, "BLOCK", block)
+    for r in prefix.prefix_dataset(events).collect():
+        for name, x in r.asDict().items():
+            y = whole[r.seq][name]
+            assert x == y or isinstance(x, float) and math.isclose(x, y, abs_tol=1e-8), (r.seq, name, x, y)
+
+
+def test_long_decay_does_not_overflow(make_events, monkeypatch):
+    monkeypatch.setattr(prefix, "BLOCK", 100)
+    quiet = [ev("e", k, "checkpoint") for k in range(3000)]
+    quiet[2990] = ev("e", 2990, "checkpoint", observation="failed", plan_summary="just", proposed_tool="secret")
+    got = {r.step_id: r.risk_score for r in prefix.risk_scores(valid_events(make_events(*quiet))).where("step_id >= 2988").collect()}
+    assert got[2989] == 0.0 and got[2990] > 10 and math.isclose(got[2993], got[2990] * 0.85**3, abs_tol=1e-8)
 
 
 def test_stated_risk(spark):

@@ -1,10 +1,11 @@
-"""Prefix dataset: what was known at each event of an episode, by segmented scans.
-
-A window over a whole episode would put an episode with a third of all rows into one task. Here the
-rows of an episode are cut into blocks of step numbers: running values are computed inside each
-block, the blocks' totals are scanned per episode (a few rows), and the carry is joined back. Sums,
-maxima and the decayed maximum all combine over blocks. Texts are reduced to narrow numeric columns
-in one pass, which are written once and read by both passes.
+"""Prefix dataset: what was known at each event of an episode, by one segmented scan.
+
+A window over a whole episode would put an episode with a third of all rows into one task. Here texts are
+reduced to narrow numeric columns once, the rows of an episode are cut into blocks of step numbers, and
+everything that runs along an episode is computed inside the blocks, for the two or three states that a
+block can be entered in (confirmed before or not, an error before or not, a rule violated before or not).
+The blocks' totals, one row each, are scanned per episode, which tells the state and the carry of every
+block, and these are joined back: rows are shuffled once, however many columns run.
 """
 
 from __future__ import annotations
@@ -39,42 +40,6 @@ PREFIX_COLUMNS = (
 )
 
 _ORDER = ("step_id", "_ord", "seq")
-
-
-def _block() -> Column:
-    return F.floor(F.col("step_id") / BLOCK).cast("long")
-
-
-def running(df: DataFrame, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, earlier: dict[str, str] | None = None) -> DataFrame:
-    """Adds running sums and maxima per episode in order of step, hook and ingestion; ``earlier`` maxima exclude the current row.
-
-    Needs ``episode_id, step_id, _ord, seq``. Maxima are floored at 0. ``df`` is read twice.
-    """
-    sums, maxima, earlier = sums or {}, maxima or {}, earlier or {}
-    df = df.withColumn("_block", _block())
-    here = Window.partitionBy("episode_id", "_block").orderBy(*_ORDER)
-    upto, before = here.rowsBetween(Window.unboundedPreceding, Window.currentRow), here.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumns(
-        {f"_s_{k}": F.sum(v).over(upto) for k, v in sums.items()}
-        | {f"_m_{k}": F.max(v).over(upto) for k, v in maxima.items()}
-        | {f"_e_{k}": F.max(v).over(before) for k, v in earlier.items()}
-    )
-    both = {**maxima, **earlier}
-    totals = df.groupBy("episode_id", "_block").agg(*[F.sum(v).alias(f"_ts_{k}") for k, v in sums.items()], *[F.max(v).alias(f"_tm_{k}") for k, v in both.items()])
-    blocks = Window.partitionBy("episode_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        "episode_id", "_block",
-        *[F.coalesce(F.sum(f"_ts_{k}").over(blocks), F.lit(0)).alias(f"_cs_{k}") for k in sums],
-        *[F.coalesce(F.max(f"_tm_{k}").over(blocks), F.lit(0)).alias(f"_cm_{k}") for k in both],
-    )
-    joined = local.join(carry, ["episode_id", "_block"])
-    kind = {f.name: f.dataType for f in df.schema.fields}
-    out = {k: (F.col(f"_s_{k}") + F.col(f"_cs_{k}")) for k in sums}
-    out |= {k: F.greatest(F.lit(0).cast(kind[v]), F.col(f"_m_{k}"), F.col(f"_cm_{k}").cast(kind[v])) for k, v in maxima.items()}
-    out |= {k: F.greatest(F.coalesce(f"_e_{k}", F.lit(0).cast(kind[v])), F.col(f"_cm_{k}").cast(kind[v])) for k, v in earlier.items()}
-    return joined.withColumns(out).select(*[c for c in df.columns if c != "_block"], *out)
-
-
 #: Keeps logarithms of scores above 0, which stands for "no score yet".
 _SHIFT = 60.0
 
@@ -89,13 +54,6 @@ def decayed(weight: Column, k: Column, decay: float = DECAY) -> Column:
     return F.when(weight > 0, F.round(F.exp(weight - _SHIFT + k * math.log(decay)), 9)).otherwise(0.0)
 
 
-def decayed_max(df: DataFrame, value: str, name: str, decay: float = DECAY) -> DataFrame:
-    """Adds ``s_t = max(decay * s_(t-1), value_t)`` with ``s_0 = 0`` per episode, by two running scans."""
-    df = running(df.withColumn("_one", F.lit(1).cast("long")), sums={"_k": "_one"}).drop("_one")
-    df = df.withColumn("_w", decay_weight(F.col(value), F.col("_k"), decay))
-    return running(df, maxima={"_mw": "_w"}).withColumn(name, decayed(F.col("_mw"), F.col("_k"), decay)).drop("_k", "_w", "_mw")
-
-
 def policy(score: Column) -> Column:
     """Policy bucket with inclusive upper bounds 20, 40, 60, 80."""
     return F.when(score <= 20, "continue").when(score <= 40, "watch").when(score <= 60, "verify").when(score <= 80, "alert").otherwise("block")
@@ -133,45 +91,129 @@ def row_features(events: DataFrame, full: bool = True) -> DataFrame:
     return df.select(*keep)
 
 
-def rule_rows(events: DataFrame, full: bool = True) -> DataFrame:
-    """Row features with ``_prior_error`` (an error before this row), ``_v1`` (rule 1 violated here) and the position ``_k``; written."""
-    rows = written(row_features(events, full).withColumn("_one", F.lit(1).cast("long")), "row-features")
-    rows = running(rows, sums={"_k": "_one"}, maxima={"_confirmed": "f_confirm_seen"}, earlier={"_prior_error": "f_observation_error"} if full else {})
-    rows = rows.withColumn("_v1", ((F.col("_danger") == 1) & (F.col("_confirmed") == 0)).cast("int"))
+def _local(rows: DataFrame, full: bool) -> DataFrame:
+    """Running values inside each block; where they depend on the state a block is entered in, one column for each state.
+
+    ``_c`` confirmed, ``_e`` error before the row, ``_v1.._v3`` rules violated; by state: ``_n0, _n1`` flags without
+    and with an error before, ``_f00, _f10, _f1`` floored scores (nothing before; confirmed before; violated
+    before) and ``_w..`` their decay weights.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("step_id") / BLOCK).cast("long"))
+    here = Window.partitionBy("episode_id", "_block").orderBy(*_ORDER)
+    upto, before = here.rowsBetween(Window.unboundedPreceding, Window.currentRow), here.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_k": F.row_number().over(here).cast("long"), "_c": F.max("f_confirm_seen").over(upto)})
     if full:
-        rows = rows.withColumn("f_fallback_after_error", (F.col("_prior_error") * F.col("_recovers")).cast("int"))
-    return written(rows.drop("_one", "_confirmed"), "rule-rows")
+        rows = rows.withColumn("_e", F.coalesce(F.max("f_observation_error").over(before), F.lit(0)))
+        other = sum((F.col(f) for f in P.ROW_FLAGS[1:]), F.col(P.ROW_FLAGS[0]))
+        rows = rows.withColumns({"_n0": other + F.col("_e") * F.col("_recovers"), "_n1": other + F.col("_recovers")})
+        rows = rows.withColumns(
+            {f"_s_{k}": F.sum(v).over(upto) for k, v in COUNTED.items()} | {f"_m_{k}": F.max(v).over(upto) for k, v in HIGHEST.items()}
+            | {f"_s_n{x}": F.sum(f"_n{x}").over(upto) for x in (0, 1)} | {f"_m_n{x}": F.max(f"_n{x}").over(upto) for x in (0, 1)}
+        )
+    rows = rows.withColumn("_d1", ((F.col("_danger") == 1) & (F.col("_c") == 0)).cast("int"))
+    rows = rows.withColumns({v: F.max(c).over(upto) for v, c in (("_v1", "_d1"), ("_v2", "_r2"), ("_v3", "_r3"))})
+    floor = F.greatest(F.col("_raw"), F.lit(VIOLATION_FLOOR))
+    rows = rows.withColumns({"_f00": F.when(F.greatest("_v1", "_v2", "_v3") == 1, floor).otherwise(F.col("_raw")), "_f10": F.when(F.greatest("_v2", "_v3") == 1, floor).otherwise(F.col("_raw")), "_f1": floor})
+    return rows.withColumns({f"_m{f}": F.max(f).over(upto) for f in _STATES} | {f"_w{f}": F.max(decay_weight(F.col(f), F.col("_k"))).over(upto) for f in _STATES})
 
 
-def violations(rows: DataFrame) -> DataFrame:
-    """Adds ``v1, v2, v3``: each path rule violated at or before the row."""
-    return running(rows, maxima={"v1": "_v1", "v2": "_r2", "v3": "_r3"})
+_STATES = ("_f00", "_f10", "_f1")
 
 
-def episode_risk(rows: DataFrame) -> DataFrame:
-    """``episode_id, first_risk, last_risk``: steps named as risky, marked as risk events, or first to violate a rule."""
-    first = lambda c: F.min(F.when(F.col(c) == 1, F.col("step_id")))
-    event = F.when(F.col("risk_event"), F.col("step_id"))
-    agg = rows.groupBy("episode_id").agg(
-        F.min("_t_risk").alias("a"), F.max("_t_risk").alias("b"), F.min(event).alias("c"), F.max(event).alias("d"), first("_v1").alias("r1"), first("_r2").alias("r2"), first("_r3").alias("r3")
-    )
-    return agg.select("episode_id", F.least("a", "c", "r1", "r2", "r3").alias("first_risk"), F.greatest("b", "d", "r1", "r2", "r3").alias("last_risk"))
+def _state(prefix: str) -> Column:
+    """Of the columns by state the one that holds for the block."""
+    return F.when(F.col("violated_in") == 1, F.col(f"{prefix}_f1")).when(F.col("c_in") == 1, F.col(f"{prefix}_f10")).otherwise(F.col(f"{prefix}_f00"))
 
 
-def future_severity(rows: DataFrame) -> DataFrame:
-    """Adds ``_future``: largest severity at this step or later; one maximum per step before anything is ordered."""
-    steps = rows.groupBy("episode_id", "step_id").agg(F.max("severity").alias("s")).withColumn("_block", _block())
-    later = Window.partitionBy("episode_id", "_block").orderBy(F.desc("step_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = steps.groupBy("episode_id", "_block").agg(F.max("s").alias("t"))
-    after = Window.partitionBy("episode_id").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select("episode_id", "_block", F.max("t").over(after).alias("c"))
-    per = steps.withColumn("m", F.max("s").over(later)).join(carry, ["episode_id", "_block"]).select("episode_id", "step_id", F.greatest("m", "c").alias("_future"))
-    return rows.join(per, ["episode_id", "step_id"])
+def _onward(w: Column) -> Column:
+    """A weight by positions of the block as one by positions of the episode."""
+    return F.when(w > 0, w - F.col("k_in") * math.log(DECAY)).otherwise(0.0)
 
 
-def floored() -> Column:
-    """Raw score, at least ``VIOLATION_FLOOR`` once a rule was violated."""
-    return F.when(F.col("oracle_violation") == 1, F.greatest(F.col("_raw"), F.lit(VIOLATION_FLOOR))).otherwise(F.col("_raw"))
+def _carries(local: DataFrame, full: bool) -> DataFrame:
+    """One row per block: the state it is entered in, what ran up to it, the severity after it, and the risk steps of its episode."""
+    top = lambda c: F.max(c).alias(c)
+    step = lambda cond: F.when(cond, F.col("step_id"))
+    flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    running = ["_k", "_c", "_v1", "_v2", "_v3", *[f"_m{f}" for f in _STATES], *[f"_w{f}" for f in _STATES]]
+    if full:
+        running += [*[f"_s_{k}" for k in COUNTED], *[f"_m_{k}" for k in HIGHEST], "_s_n0", "_s_n1", "_m_n0", "_m_n1"]
+    # no running value ever falls, so a block's last one is its largest
+    blocks = local.groupBy("episode_id", "_block").agg(
+        *[top(c) for c in running], *([F.max("f_observation_error").alias("_err")] if full else []), F.max("severity").alias("_sev"),
+        F.min("_t_risk").alias("_ta"), F.max("_t_risk").alias("_tb"), F.min(step(F.col("risk_event"))).alias("_ea"), F.max(step(F.col("risk_event"))).alias("_eb"),
+        *[F.min(step(flag(c))).alias(f"_at{c}") for c in ("_d1", "_r2", "_r3")],
+    )
+    w = Window.partitionBy("episode_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("episode_id").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("episode_id")
+    zero = lambda c, kind="int": F.coalesce(c, F.lit(0).cast(kind))
+    blocks = blocks.withColumns({"c_in": zero(F.max("_c").over(w)), "k_in": zero(F.sum("_k").over(w), "long"), "sev_after": zero(F.max("_sev").over(after), "double")})
+    first = F.col("c_in") == 0
+    blocks = blocks.withColumns({"_v1": F.when(first, F.col("_v1")).otherwise(0), "_at_d1": F.when(first, F.col("_at_d1"))})
+    blocks = blocks.withColumns({f"v{i}_in": zero(F.max(f"_v{i}").over(w)) for i in (1, 2, 3)})
+    blocks = blocks.withColumn("violated_in", F.greatest("v1_in", "v2_in", "v3_in"))
+    blocks = blocks.withColumns({"_top": _state("_m"), "_weight": _onward(_state("_w"))})
+    blocks = blocks.withColumns({"top_in": zero(F.max("_top").over(w), "double"), "weight_in": zero(F.max("_weight").over(w), "double")})
+    ruled = {c: F.min(f"_at{c}").over(whole) for c in ("_d1", "_r2", "_r3")}
+    blocks = blocks.withColumns(
+        {
+            "first_risk": F.least(F.min("_ta").over(whole), F.min("_ea").over(whole), *ruled.values()),
+            "last_risk": F.greatest(F.max("_tb").over(whole), F.max("_eb").over(whole), *ruled.values()),
+        }
+    )
+    names = ["c_in", "k_in", "sev_after", "v1_in", "v2_in", "v3_in", "violated_in", "top_in", "weight_in", "first_risk", "last_risk"]
+    if full:
+        blocks = blocks.withColumn("err_in", zero(F.max("_err").over(w)))
+        now = lambda c: F.when(F.col("err_in") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+        blocks = blocks.withColumns({"_sn": now("_s_n"), "_mn": now("_m_n")})
+        kind = {f.name: f.dataType for f in blocks.schema.fields}
+        blocks = blocks.withColumns(
+            {f"in_s_{k}": zero(F.sum(f"_s_{k}").over(w), kind[f"_s_{k}"]) for k in COUNTED} | {f"in_m_{k}": zero(F.max(f"_m_{k}").over(w), kind[f"_m_{k}"]) for k in HIGHEST}
+            | {"in_sn": zero(F.sum("_sn").over(w), "long"), "in_mn": zero(F.max("_mn").over(w))}
+        )
+        names += ["err_in", *[f"in_s_{k}" for k in COUNTED], *[f"in_m_{k}" for k in HIGHEST], "in_sn", "in_mn"]
+    return blocks.select("episode_id", "_block", *names)
+
+
+def scan(events: DataFrame, full: bool = True) -> DataFrame:
+    """Row features of valid events and all that runs along their episodes.
+
+    ``v1, v2, v3`` (each path rule violated at or before the row), ``oracle_violation``, ``risk_score``,
+    ``max_risk_score_so_far``, ``first_risk`` and ``last_risk`` of the episode (steps named as risky, marked as risk events,
+    or first to violate a rule), ``_future`` (largest severity at this step or later); with ``full`` also the
+    running counts and maxima and ``f_fallback_after_error``.
+    """
+    rows = written(row_features(events, full), "row-features")
+    local = _local(rows, full)
+    later = Window.partitionBy("episode_id", "_block").orderBy(F.desc("step_id"))
+    d = local.withColumn("_later", F.max("severity").over(later)).join(_carries(local, full), ["episode_id", "_block"])
+    v1 = F.greatest(F.when(F.col("c_in") == 0, F.col("_v1")).otherwise(0), F.col("v1_in"))
+    d = d.withColumns({"v1": v1, "v2": F.greatest("_v2", "v2_in"), "v3": F.greatest("_v3", "v3_in"), "_future": F.greatest("_later", "sev_after"), "max_risk_score_so_far": F.greatest(_state("_m"), F.col("top_in"))})
+    d = d.withColumns({"oracle_violation": F.greatest("v1", "v2", "v3"), "risk_score": decayed(F.greatest(_onward(_state("_w")), F.col("weight_in")), F.col("k_in") + F.col("_k"))})
+    if full:
+        erred = F.col("err_in") == 1
+        zero = F.lit(0)
+        d = d.withColumns(
+            {k: F.col(f"_s_{k}") + F.col(f"in_s_{k}") for k in COUNTED}
+            | {k: F.greatest(zero.cast("int" if k == "confirmation_seen_so_far" else "double"), F.col(f"_m_{k}"), F.col(f"in_m_{k}")) for k in HIGHEST}
+            | {
+                "f_fallback_after_error": F.when(erred, F.col("_recovers")).otherwise(F.col("_e") * F.col("_recovers")).cast("int"),
+                "cumulative_disagreement_count": F.when(erred, F.col("_s_n1")).otherwise(F.col("_s_n0")) + F.col("in_sn"),
+                "max_disagreement_score_so_far": F.greatest(F.when(erred, F.col("_m_n1")).otherwise(F.col("_m_n0")), F.col("in_mn")) * 10.0,
+            }
+        )
+    return d
+
+
+def episode_risk(scanned: DataFrame) -> DataFrame:
+    """``episode_id, first_risk, last_risk`` of a ``scan``."""
+    return scanned.groupBy("episode_id").agg(F.first("first_risk").alias("first_risk"), F.first("last_risk").alias("last_risk"))
+
+
+def _targets(scanned: DataFrame) -> DataFrame:
+    label = F.coalesce((F.col("last_risk") >= F.col("step_id")).cast("int"), F.lit(0))
+    return scanned.withColumns({"policy": policy(F.col("risk_score")), "future_risk_label": label, "t_risk": F.col("first_risk"), "lead_time_if_alert_now": F.col("first_risk") - F.col("step_id")})
 
 
 def risk_scores(events: DataFrame, targets: bool = False) -> DataFrame:
@@ -179,37 +221,13 @@ def risk_scores(events: DataFrame, targets: bool = False) -> DataFrame:
 
     With ``targets`` also its ``future_risk_label``, ``t_risk`` and ``lead_time_if_alert_now``.
     """
-    ruled = rule_rows(events, full=False)
-    rows = violations(ruled).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
-    rows = written(rows.withColumn("_w", decay_weight(floored(), F.col("_k"))).select("seq", "episode_id", "step_id", "hook_type", "_ord", "_k", "_w", "oracle_violation"), "weights")
-    rows = running(rows, maxima={"_mw": "_w"}).withColumn("risk_score", decayed(F.col("_mw"), F.col("_k")))
-    out = rows.select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score").withColumn("policy", policy(F.col("risk_score")))
-    if not targets:
-        return out
-    label = F.coalesce((F.col("last_risk") >= F.col("step_id")).cast("int"), F.lit(0))
-    out = out.join(episode_risk(ruled), "episode_id", "left").withColumn("future_risk_label", label)
-    return out.withColumnRenamed("first_risk", "t_risk").withColumn("lead_time_if_alert_now", F.col("t_risk") - F.col("step_id")).drop("last_risk")
+    more = ("future_risk_label", "t_risk", "lead_time_if_alert_now") if targets else ()
+    return _targets(scan(events, full=False)).select("seq", "episode_id", "step_id", "hook_type", "oracle_violation", "risk_score", "policy", *more)
 
 
 def prefix_dataset(events: DataFrame) -> DataFrame:
     """The 68 columns of the prefix dataset for valid events (``sources.tables.valid_events``)."""
-    rows = rule_rows(events)
-    flags = sum((F.col(f) for f in FLAGS[1:]), F.col(FLAGS[0]))
-    rows = rows.withColumns({"_flags": flags, "_score10": flags * 10.0})
-    maxima = {**HIGHEST, "max_disagreement_score_so_far": "_score10", "v1": "_v1", "v2": "_r2", "v3": "_r3"}
-    scored = running(rows, sums={**COUNTED, "cumulative_disagreement_count": "_flags"}, maxima=maxima).withColumn("oracle_violation", F.greatest("v1", "v2", "v3"))
-    scored = scored.withColumn("_floored", floored()).withColumn("_w", decay_weight(F.col("_floored"), F.col("_k")))
-    scored = running(written(scored, "running"), maxima={"_mw": "_w", "max_risk_score_so_far": "_floored"}).withColumn("risk_score", decayed(F.col("_mw"), F.col("_k")))
-    scored = future_severity(scored).join(episode_risk(rows), "episode_id", "left")
+    d = _targets(scan(events))
     rules = F.array_join(F.array_compact(F.array(*[F.when(F.col(v) == 1, F.lit(r)) for v, r in (("v1", "O001"), ("v2", "O005"), ("v3", "O007"))])), ";")
-    label = F.coalesce((F.col("last_risk") >= F.col("step_id")).cast("int"), F.lit(0))
-    out = scored.withColumns(
-        {
-            "oracle_rules": rules,
-            "policy": policy(F.col("risk_score")),
-            "future_risk_label": label,
-            "t_risk": F.col("first_risk"),
-            "lead_time_if_alert_now": F.col("first_risk") - F.col("step_id"),
-        }
-    ).withColumn("future_severity", F.when(F.col("future_risk_label") == 1, F.col("_future")).otherwise(0.0))
-    return out.select("seq", *PREFIX_COLUMNS)
+    d = d.withColumns({"oracle_rules": rules, "future_severity": F.when(F.col("future_risk_label") == 1, F.col("_future")).otherwise(0.0)})
+    return d.select("seq", *PREFIX_COLUMNS)

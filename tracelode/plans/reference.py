@@ -78,7 +78,7 @@ def stream_q(spark, sf):
 
 @query(f"{_K} {_typed(prefix.FLAGS)}", f"{S.UPTO_FLAGS} select * from fl")
 def heuristic_disagreement(spark, sf):
-    return prefix.rule_rows(trace_events(spark, sf))
+    return prefix.scan(trace_events(spark, sf))
 
 
 # -- prefix windows -------------------------------------------------------------------------------
@@ -87,10 +87,7 @@ _COUNTS = [c for c in prefix.COUNTED if c != "cumulative_stream_variance"]
 
 @query(f"{_K} {_typed([*_COUNTS, 'cumulative_disagreement_count', 'confirmation_seen_so_far'])}", f"{S.UPTO_PREFIX} select * from px")
 def cumulative_counts(spark, sf):
-    rows = prefix.rule_rows(trace_events(spark, sf))
-    rows = rows.withColumn("_flags", sum((F.col(f) for f in prefix.FLAGS[1:]), F.col(prefix.FLAGS[0])))
-    sums = {c: prefix.COUNTED[c] for c in _COUNTS} | {"cumulative_disagreement_count": "_flags"}
-    return prefix.running(rows, sums=sums, maxima={"confirmation_seen_so_far": "f_confirm_seen"})
+    return prefix.scan(trace_events(spark, sf))
 
 
 _TOPS = [c for c in prefix.HIGHEST if c != "confirmation_seen_so_far"]
@@ -98,8 +95,7 @@ _TOPS = [c for c in prefix.HIGHEST if c != "confirmation_seen_so_far"]
 
 @query(f"{_K} {_typed(_TOPS)} cumulative_stream_variance:e", f"{S.UPTO_PREFIX} select * from px")
 def running_maxima(spark, sf):
-    rows = prefix.rule_rows(trace_events(spark, sf))
-    return prefix.running(rows, sums={"cumulative_stream_variance": "d_stream_variance"}, maxima={c: prefix.HIGHEST[c] for c in _TOPS})
+    return prefix.scan(trace_events(spark, sf))
 
 
 @query(f"{_K} oracle_violation risk_score:d policy:s", f"{S.UPTO_PREFIX} select * from px")
@@ -109,12 +105,12 @@ def decayed_risk_score(spark, sf):
 
 @query(f"{_K} v1 v2 v3", f"{S.UPTO_PREFIX} select * from px")
 def oracle_violations(spark, sf):
-    return prefix.violations(prefix.rule_rows(trace_events(spark, sf), full=False))
+    return prefix.scan(trace_events(spark, sf), full=False)
 
 
 @query("episode_id:s first_risk last_risk", f"{S.UPTO_PREFIX} select * from er")
 def episode_risk_steps(spark, sf):
-    return prefix.episode_risk(prefix.rule_rows(trace_events(spark, sf), full=False))
+    return prefix.episode_risk(prefix.scan(trace_events(spark, sf), full=False))
 
 
 @query(f"{_K} future_risk_label future_severity:d t_risk lead_time_if_alert_now", f"{S.UPTO_PREFIX} select * from px")
