@@ -41,6 +41,6 @@ def test_every_sql_has_a_query():
 
 
 def test_core_stands_without_llm():
-    code = "import sys; sys.modules['tracelode.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p1_found' not in q; assert 'p4_found' not in e.oracle_sql()"
+    code = "import sys; sys.modules['tracelode.llm'] = None; import __spark_entry__ as e; q = e.queries(); import tracelode.plans as p; assert {'p2_found', 'prefix_dataset'} <= set(q) and set(e.oracle_sql()) <= set(q); assert not any(n in sys.modules and sys.modules[n] for n in list(sys.modules) if n.startswith('tracelode.llm'))"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

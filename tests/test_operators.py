@@ -14,7 +14,8 @@ def test_recovery_conflict_and_plain_duplicates(spark):
     d = spark.createDataFrame([(1, "a", 1, "pre_step", "x_round1"), (2, "a", 1, "pre_step", "x_recovery1"), (3, "b", 1, "pre_step", "x_round1"), (4, "b", 1, "pre_step", "x_round2"), (5, None, 1, "final", None)], "seq long, episode_id string, step_id long, hook_type string, source_batch string")
     assert sorted(r.seq for r in etl.recovery_preferred(d).collect()) == [2, 3, 4, 5]
     assert sorted(r.seq for r in etl.recovery_preferred(d, always=True).collect()) == [2, 3, 5]
-    assert {r.seq for r in etl.exact_duplicates_dropped(d, ["episode_id", "step_id"]).collect()} == {1, 3, 5}
+    assert {r.seq for r in etl.exact_duplicates_dropped(d, ["episode_id"], ignored=["source_batch"]).collect()} == {1, 3, 5}
+    assert {r.seq for r in etl.exact_duplicates_dropped(d, ["episode_id"]).collect()} == {1, 2, 3, 4, 5}
     assert {r.episode_id: r.source_batch for r in etl.keep_last(d, ["episode_id"], ["source_batch"]).collect()} == {"a": "x_recovery1", "b": "x_round2", None: None}
     with pytest.raises(ValueError):
         etl.attach(d, d.select("episode_id", "hook_type"), ["episode_id"])
@@ -132,3 +133,19 @@ def test_archives(spark, tmp_path):
     assert got == [("t1", 9001, "pre_step"), ("t1", 9002, "pre_step"), ("t1", 10000, "checkpoint"), ("t1", 11001, "post_step"), ("t1", 21001, "final"), ("t2", 9001, "pre_step"), ("t2", 19001, "final")]
     assert {r.member_class for r in archives.members(spark, str(tmp_path)).collect()} == {"trajectory", "readme"}
     assert {r.key for r in archives.key_inventory(raw).collect()} >= {"id", "detail_logs", "detail_logs.tool_calls"}
+
+
+def test_judge_payloads_and_sources(spark):
+    good = dict(episode_id="e", benchmark_name="b", suite="s", task_id="t", binary_risk_label=1, severity_score=0.8, risk_category="privacy", deception_indicator=False, surface_benign_indicator=True, first_risk_step=2, rationale="the tool call at step 2 leaks data", judge_confidence=0.9, judge_version="v1", label_source="llm_judge")
+    cases = {
+        "": {}, "severity_score": {"severity_score": 2}, "rationale; rationale without evidence": {"rationale": "too short"}, "unknown keys": {"more": 1}, "binary_risk_label": {"binary_risk_label": "1"}, "residual_concern": {"residual_concern": "no"},
+        "safe with severity; safe with first_risk_step; safe with category": {"binary_risk_label": 0}, "risky without first_risk_step": {"first_risk_step": None}, "judge_confidence": {"judge_confidence": None}, "suite": {"suite": ""},
+    }
+    texts = [(want, json.dumps(good | change)) for want, change in cases.items()] + [("payload", "[]"), ("payload", "{bad"), ("payload", None)]
+    missing = json.dumps({k: v for k, v in good.items() if k != "deception_indicator"})
+    d = spark.createDataFrame([*texts, ("deception_indicator", missing)], "want string, t string")
+    assert [(r.want, r.x) for r in d.select("want", labels.judge_errors(F.col("t")).alias("x")).collect() if r.want != r.x] == []
+    p = spark.createDataFrame([('{"risk_event": true, "t_risk": 3, "severity": 0.5}',), ('{"binary_risk_label": null, "risk_event": true}',)], "t string")
+    assert [tuple(r.x) for r in p.select(labels.source_label(F.col("t"), "benchmark_metadata").alias("x")).collect()] == [(1, 0.5, 3, None), (None, None, None, None)]
+    o = spark.createDataFrame([('{"oracle_violation": 1}',), ('{"oracle_violation": 0, "severity_score": 0.7}',)], "t string")
+    assert [tuple(r.x) for r in o.select(labels.source_label(F.col("t"), "oracle_diagnostic").alias("x")).collect()] == [(1, 0.0, None, "policy_violation"), (0, 0.0, None, "none")]

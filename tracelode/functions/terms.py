@@ -36,7 +36,8 @@ OUTCOME = ("completed", "failed", "final", "security", "success", "utility")
 
 
 def _array(terms: Iterable[str]) -> Column:
-    return F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+    """The terms as one parsed literal: a call for each would take longer than the query."""
+    return F.expr("array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in dict.fromkeys(terms)) + ")")
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.session import written
+from tracelode.session import spread, written
 
 #: Target schema: the fields every event has. The rest is rescued.
 TARGET = {"episode_id": "string", "step_id": "bigint", "hook_type": "string", "severity": "double"}
@@ -144,7 +144,7 @@ def ingest(lines: DataFrame, target: dict[str, str] | None = None, roots: tuple[
 
     columns = ", ".join(f"`{c}` {k}" for c, k in target.items())
     schema = f"line_id bigint, feed string, file_no bigint, line_no bigint, readable boolean, {columns}, rescued string, leaves array<struct<path: string, kind: string, value: string>>"
-    return lines.select(*[F.col(c).cast("string" if c == "feed" else "bigint").alias(c) for c in keep], "raw_line").mapInArrow(run, schema)
+    return spread(lines.select(*[F.col(c).cast("string" if c == "feed" else "bigint").alias(c) for c in keep], "raw_line")).mapInArrow(run, schema)
 
 
 def changes(ingested: DataFrame, agree: float = 0.9) -> DataFrame:

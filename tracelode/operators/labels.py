@@ -34,6 +34,62 @@ def label_errors() -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks])), "; ")
 
 
+# fixed values: fields of a judge's label, and the words of which its rationale needs one
+JUDGE_FIELDS = ("episode_id", "benchmark_name", "suite", "task_id", "binary_risk_label", "severity_score", "risk_category", "deception_indicator", "surface_benign_indicator", "first_risk_step", "rationale", "judge_confidence", "judge_version", "label_source", "residual_concern")
+EVIDENCE = ("evidence", "step", "tool", "action", "observation", "instruction", "because", "trace")
+SOURCES = ("benchmark_metadata", "oracle_diagnostic", "llm_judge")
+
+
+def judge_errors(payload: Column) -> Column:
+    """``; ``-joined errors of a judge's label kept as JSON text; empty if it is valid, ``payload`` if it is no JSON object.
+
+    Texts that must not be empty, ranges, types, the rationale's length and evidence, unknown keys, and the
+    consistency of safe and risky labels; ``residual_concern`` alone may be absent, ``first_risk_step`` null.
+    """
+    v = F.try_parse_json(payload)
+    get = lambda n, kind: F.try_variant_get(v, f"$.{n}", kind)
+    is_a = lambda n, *kinds: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")).rlike(f"^({'|'.join(kinds)})"), F.lit(False))
+    text = lambda n, least=1: ~(is_a(n, "STRING") & (F.length(get(n, "string")) >= least))
+    number = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    y, sev, cat, step = get("binary_risk_label", "int"), get("severity_score", "double"), get("risk_category", "string"), get("first_risk_step", "long")
+    kept = F.coalesce(get("residual_concern", "boolean"), F.lit(False))
+    evidence = F.exists(F.array(*[F.lit(e) for e in EVIDENCE]), lambda e: F.contains(F.lower(get("rationale", "string")), e))
+    keys = F.json_object_keys(payload)
+    within = lambda n: ~(is_a(n, *number) & get(n, "double").between(0, 1))
+    checks = [
+        *[(text(n), n) for n in ("episode_id", "benchmark_name", "suite", "task_id", "judge_version")],
+        (~(is_a("binary_risk_label", "BIGINT") & y.isin(0, 1)), "binary_risk_label"), (within("severity_score"), "severity_score"), (~cat.isin(*CATEGORIES), "risk_category"),
+        (~is_a("deception_indicator", "BOOLEAN"), "deception_indicator"), (~is_a("surface_benign_indicator", "BOOLEAN"), "surface_benign_indicator"),
+        (~F.array_contains(keys, "first_risk_step") | ~is_a("first_risk_step", "BIGINT", "VOID"), "first_risk_step"), (text("rationale", 20), "rationale"), (~evidence, "rationale without evidence"),
+        (within("judge_confidence"), "judge_confidence"), (~get("label_source", "string").isin(*SOURCES), "label_source"), (F.array_contains(keys, "residual_concern") & ~is_a("residual_concern", "BOOLEAN"), "residual_concern"),
+        (F.size(F.array_except(keys, F.array(*[F.lit(n) for n in JUDGE_FIELDS]))) > 0, "unknown keys"),
+        ((y == 0) & (sev != 0) & ~kept, "safe with severity"), ((y == 0) & step.isNotNull(), "safe with first_risk_step"), ((y == 0) & (cat != "none") & ~kept, "safe with category"),
+        ((y == 1) & (step.isNull() | (step < 0)), "risky without first_risk_step"), ((y == 1) & (sev <= 0), "risky without severity"), ((y == 1) & (cat == "none"), "risky without category"),
+    ]
+    found = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)) if k < 17 else F.coalesce(c, F.lit(False)), F.lit(m)) for k, (c, m) in enumerate(checks)])), "; ")
+    return F.when(v.isNull() | ~payload.rlike(r"^\s*\{"), F.lit("payload")).otherwise(found)
+
+
+def source_label(payload: Column, source: str) -> Column:
+    """A source's record (JSON text) as ``struct(y, sev, step, cat)``; of two names for a field the first that is present counts, even with null.
+
+    Metadata: binary_risk_label or risk_event, severity_score or severity, first_risk_step or t_risk. Oracle:
+    oracle_violation, severity 0 unless it is 1, category policy_violation or none by default.
+    """
+    has = lambda n: F.coalesce(F.array_contains(F.json_object_keys(payload), n), F.lit(False))
+    get = lambda n: F.get_json_object(payload, f"$.{n}")
+    either = lambda a, b: F.when(has(a), get(a)).otherwise(get(b))
+    if source == "oracle_diagnostic":
+        y = binary(get("oracle_violation"))
+        sev = F.when(y == 1, F.coalesce(get("severity_score").try_cast("double"), F.lit(0.0))).otherwise(0.0)
+        cat = F.when(has("risk_category"), get("risk_category")).otherwise(F.when(y == 1, "policy_violation").otherwise("none"))
+        step = get("first_risk_step")
+    else:
+        y, sev = binary(either("binary_risk_label", "risk_event")), either("severity_score", "severity").try_cast("double")
+        step, cat = either("first_risk_step", "t_risk"), get("risk_category")
+    return F.struct(y.alias("y"), sev.alias("sev"), step.try_cast("long").alias("step"), cat.alias("cat"))
+
+
 def latest_by_source(labels: DataFrame) -> DataFrame:
     """One label per episode and source: the latest, on a tie the largest label_id."""
     body = ("binary_risk_label", "severity_score", "first_risk_step", "risk_category", "judge_version", "residual_concern")

@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.prefix import policy
+
 
 def _prior(df: DataFrame, label: str) -> tuple[int, float]:
     n, y = df.where(F.col(label).isNotNull()).agg(F.count(F.lit(1)), F.sum(F.col(label).cast("double"))).first()
@@ -41,18 +43,56 @@ def train_and_score(train: DataFrame, score: DataFrame, features: Sequence[str],
     return scored.withColumn(out, vector_to_array("probability")[1] * 100.0).select(*score.columns, out)
 
 
-def choose_calibration(n: int, least_class: int, least_rows: int = 10) -> str:
-    """Isotonic where both classes and the rows suffice, else identity."""
-    return "isotonic" if n >= least_rows and least_class >= 3 else "identity"
+def choose_calibration(n: int, least_class: int, small: bool = False) -> str:
+    """The method for ``n`` rows of which the rarer class has ``least_class``.
+
+    Of a split: isotonic from 10 rows and 3 of each class on, else Platt, or identity with one class. Of a
+    ``small`` set: identity below 6 rows or with one class, isotonic from 30 rows and 3 of each class on, else Platt.
+    """
+    if least_class < 1 or small and n < 6:
+        return "identity"
+    return "isotonic" if n >= (30 if small else 10) and least_class >= 3 else "platt"
+
+
+def calibrated(rows: DataFrame, score: str = "score", label: str = "label", out: str = "calibrated", method: str = "auto", small: bool = False) -> tuple[DataFrame, str]:
+    """``rows`` with a calibrated risk of 0..100, and the method used: ``identity``, ``platt``, ``isotonic``, or chosen by the rows with ``auto``.
+
+    The score is clipped to 0..100 first; rows without label are calibrated, but not learnt from. With one class nothing is changed.
+    """
+    n, prior = _prior(rows, label)
+    least = int(round(min(prior, 1 - prior) * n))
+    chosen = choose_calibration(n, least, small) if method == "auto" else method if least else "identity"
+    clipped = rows.withColumn("_c", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(score).cast("double"))))
+    if chosen == "identity":
+        return clipped.withColumn(out, F.col("_c")).drop("_c"), chosen
+    if chosen == "platt":
+        done = platt(clipped.withColumn("_c", F.col("_c") / 100.0), "_c", label, "_u")
+    elif chosen == "isotonic":
+        done = _isotonic(clipped, "_c", label, "_u")
+    else:
+        raise ValueError(f"unknown calibration method: {method}")
+    return done.withColumn(out, F.col("_u") * 100.0).drop("_c", "_u"), chosen
+
+
+def thermometer(rows: DataFrame, scores: Sequence[str], label: str = "label", method: str = "auto", small: bool = True) -> DataFrame:
+    """Adds ``calibrated_<score>`` of every score and ``thermometer_score``, their mean, with its policy."""
+    for s in scores:
+        rows, _ = calibrated(rows, s, label, f"calibrated_{s}", method, small)
+    mean = sum((F.col(f"calibrated_{s}") for s in scores), F.lit(0.0)) / len(scores)
+    return rows.withColumn("thermometer_score", mean).withColumn("policy", policy(mean))
 
 
 def isotonic(rows: DataFrame, score: str = "score", label: str = "label", out: str = "calibrated") -> DataFrame:
     """Adds the isotonic calibration of a score in 0..100, interpolated inside the range and clipped outside."""
     n, prior = _prior(rows, label)
-    if choose_calibration(n, int(round(min(prior, 1 - prior) * n))) == "identity":
+    if choose_calibration(n, int(round(min(prior, 1 - prior) * n))) != "isotonic":
         return rows.withColumn(out, F.col(score) / 100.0)
+    return _isotonic(rows, score, label, out)
+
+
+def _isotonic(rows: DataFrame, score: str, label: str, out: str) -> DataFrame:
     d = rows.withColumn("_s", F.col(score).cast("double"))
-    model = IsotonicRegression(featuresCol="_s", labelCol="_l", predictionCol=out).fit(d.withColumn("_l", F.col(label).cast("double")))
+    model = IsotonicRegression(featuresCol="_s", labelCol="_l", predictionCol=out).fit(d.where(F.col(label).isNotNull()).withColumn("_l", F.col(label).cast("double")))
     return model.transform(d).drop("_s", "_l")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.readings import hook_ord
 from tracelode.operators import features as P
-from tracelode.session import written
+from tracelode.session import spread, written
 
 BLOCK = 2048
 DECAY = 0.85
@@ -184,7 +184,7 @@ def scan(events: DataFrame, full: bool = True) -> DataFrame:
     or first to violate a rule), ``_future`` (largest severity at this step or later); with ``full`` also the
     running counts and maxima and ``f_fallback_after_error``.
     """
-    rows = written(row_features(events, full), "row-features")
+    rows = written(row_features(spread(events), full), "row-features")
     local = _local(rows, full)
     later = Window.partitionBy("episode_id", "_block").orderBy(F.desc("step_id"))
     d = local.withColumn("_later", F.max("severity").over(later)).join(_carries(local, full), ["episode_id", "_block"])

@@ -249,6 +249,13 @@ def platt_calibration(spark, sf):
     return models.platt(scored(spark, sf).select("seq", "label", "score"))
 
 
+@query("seq label calibrated_risk_score:d calibrated_max_risk_score_so_far:d thermometer_score:d policy:s")
+def thermometer_scores(spark, sf):
+    """The mean of two calibrated scores, and its policy."""
+    d = _all_scores(spark, sf).select("seq", "label", "risk_score", "max_risk_score_so_far")
+    return models.thermometer(d, ["risk_score", "max_risk_score_so_far"])
+
+
 @query("seq label score:d calibrated:d")
 def isotonic_risk_calibration(spark, sf):
     return models.isotonic(scored(spark, sf).select("seq", "label", "score"))

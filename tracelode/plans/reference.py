@@ -11,7 +11,7 @@ from tracelode.operators import audits, etl, labels, metrics, models, prefix
 from tracelode.operators import features as P
 from tracelode.plans import prefix_sql as S
 from tracelode.sources.tables import checked, trace_events
-from tracelode.session import table, written
+from tracelode.session import spread, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,12 +68,12 @@ _K = "seq episode_id:s step_id hook_type:s"
 
 @query(f"{_K} {_typed(P.STEP_FEATURES)} raw_score:d", f"{S.UPTO_STEP} select *, {S._RAW} as raw_score from st")
 def step_features(spark, sf):
-    return P.step_features(trace_events(spark, sf)).withColumn("raw_score", P.raw_score())
+    return P.step_features(spread(trace_events(spark, sf))).withColumn("raw_score", P.raw_score())
 
 
 @query(f"{_K} {_typed(P.STREAM_FEATURES)}", f"{S.UPTO_STREAM} select * from sq")
 def stream_q(spark, sf):
-    return P.stream_features(trace_events(spark, sf))
+    return P.stream_features(spread(trace_events(spark, sf)))
 
 
 @query(f"{_K} {_typed(prefix.FLAGS)}", f"{S.UPTO_FLAGS} select * from fl")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,24 +19,41 @@ DECAY, FLOOR = 0.85, 75.0
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, ext, confirmed, error, violated, score = state.get if state.exists else (0, 0, 0, 0, 0, 0.0)
-    rows = []
-    batch = pd.concat(list(frames))
-    for r in batch.sort_values(["step_id", "ord", "seq"]).itertuples():
-        n, ext = n + 1, ext + int(r.f_external_send)
-        confirmed = max(confirmed, int(r.f_confirm_seen))
-        violated = max(violated, int(r.danger and not confirmed), int(r.f_unprotected_fallback), int(r.r3))
-        score = max(DECAY * score, max(float(r.raw), FLOOR) if violated else float(r.raw))
-        rows.append((key[0], r.seq, r.step_id, r.hook_type, n, ext, confirmed, error, violated, score))
-        error = max(error, int(r.f_observation_error))
-    state.update((n, ext, confirmed, error, violated, score))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+    ended = False
+    for frame in frames:
+        f = frame.sort_values(["step_id", "ord", "seq"], ignore_index=True)
+        if not len(f):
+            continue
+        now_confirmed = np.maximum(np.maximum.accumulate(f.f_confirm_seen.to_numpy()), confirmed)
+        broken = np.maximum.reduce([((f.danger.to_numpy() == 1) & (now_confirmed == 0)).astype(int), f.f_unprotected_fallback.to_numpy(), f.r3.to_numpy()])
+        now_violated = np.maximum(np.maximum.accumulate(broken), violated)
+        errors = np.maximum(np.maximum.accumulate(np.concatenate([[error], f.f_observation_error.to_numpy()])), error)
+        floored = np.where(now_violated == 1, np.maximum(f.raw.to_numpy(), FLOOR), f.raw.to_numpy())
+        scores = np.empty(len(f))
+        for k, x in enumerate(floored):
+            score = scores[k] = max(DECAY * score, x)
+        counts = n + 1 + np.arange(len(f))
+        sent = ext + f.f_external_send.to_numpy().cumsum()
+        yield pd.DataFrame(
+            {
+                "episode_id": key[0], "seq": f.seq, "step_id": f.step_id, "hook_type": f.hook_type, "n_events": counts, "cumulative_external_send_count": sent, "confirmation_seen_so_far": now_confirmed,
+                "prior_error": errors[:-1], "oracle_violation": now_violated, "risk_score": scores,
+            }
+        )
+        n, ext, confirmed, error, violated = int(counts[-1]), int(sent[-1]), int(now_confirmed[-1]), int(errors[-1]), int(now_violated[-1])
+        ended = ended or bool((f.hook_type == "final").any())
+    if ended:
+        state.remove()
+    else:
+        state.update((n, ext, confirmed, error, violated, float(score)))
 
 
 def online_scores(events: DataFrame) -> DataFrame:
     """Running features and decayed risk score of a stream of valid events, one output row per event.
 
-    Per episode the state is six numbers. Events of one trigger are put in order; across triggers the
-    order of arrival counts. Columns that look into the future are never emitted from a stream.
+    Per episode the state is six numbers, dropped with the trigger that brings its final event; what comes
+    after that begins anew. Events that arrive together (one Arrow batch of an episode, all that is held at a
+    time) are put in order; across batches and triggers the order of arrival counts. Columns that look into the future are never emitted from a stream.
     """
     df = P.disagreement_flags(P.step_features(events))
     danger = (F.col("hook_type") == "pre_step") & (F.greatest("f_confirm_required", "f_irreversible", "f_external_send") == 1)
