@@ -59,10 +59,10 @@ def drop_written(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Rows for work that is all computation: dealt out anew where a scan comes in fewer splits than there are cores.
 
-    A table with as many splits as cores or more, so any large one, stays as it is and isn't shuffled; a
-    stream stays as it is. To be used on scans: counting the splits of a plan with shuffles would run it.
+    A table with as many splits as cores or more, so any large one, stays as it is and isn't shuffled; so do
+    a stream and a plan with shuffles of its own, whose partitions are only known when it runs.
     """
-    if df.isStreaming:
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
