@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracelode.session import spread
+
 # fixed value: the pattern that splits text into pieces before the merges
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -166,4 +168,4 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", keep: tup
             yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*keep, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in df.schema.fields if f.name == c)
-    return df.select(*keep, text).mapInArrow(run, f"{kinds}, `{out}` array<int>")
+    return spread(df.select(*keep, text)).mapInArrow(run, f"{kinds}, `{out}` array<int>")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import written
+from tracelode.session import spread, written
 
 LEAST, TOLERANCE, SEED, LEAST_SEEDS = 16, 6, 4, 3
 #: Word sequences that more items than this share are left out where enough others remain.
@@ -182,7 +182,7 @@ def index_corpus(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(runs, kind)], ["doc_id", "words", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return written(rows.mapInArrow(run, "doc_id bigint, words array<string>, runs array<struct<start: int, terms: array<bigint>>>"), "postings")
+    return written(spread(rows).mapInArrow(run, "doc_id bigint, words array<string>, runs array<struct<start: int, terms: array<bigint>>>"), "postings")
 
 
 def spared(shared: list[int], most: int = SHARED) -> list[bool]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import written
+from tracelode.session import spread, written
 
 # fixed values: tables that UTF-8 bytes are read with, the more usual first
 UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859_2", "koi8_r", "cp866")
@@ -303,7 +303,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
 
     schema = "doc_id bigint, text string, restored string, found boolean, lost int, others array<struct<pair: int, word: string, meant: string, n: int>>"
-    return written(docs.where(F.col("text").rlike(_SUSPECT)).mapInArrow(run, schema), "scanned")
+    return written(spread(docs.where(F.col("text").rlike(_SUSPECT))).mapInArrow(run, schema), "scanned")
 
 
 def other_tables(scanned: DataFrame, words: DataFrame) -> DataFrame:
