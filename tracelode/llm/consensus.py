@@ -120,7 +120,7 @@ def _over(likelihood: float, previous: float | None, tolerance: float) -> bool:
     return previous is not None and abs(likelihood - previous) <= tolerance * max(1.0, abs(previous))
 
 
-def fit(votes: DataFrame, tolerance: float = 1e-6, chains: int = 6, smooth: float = 0.5, seed: int = 11, local_annotators: int = 200_000) -> Fit:
+def fit(votes: DataFrame, tolerance: float = 1e-8, chains: int = 6, smooth: float = 0.5, seed: int = 11, local_annotators: int = 200_000) -> Fit:
     """``items``: ``episode_id, n_votes, n_risky, p_risky``; ``annotators``: ``annotator_id, n_votes, competence, guess_risky, inverted``; and the rounds it took.
 
     It ends when the likelihood of the best chain changes by at most ``tolerance`` of itself in a round
